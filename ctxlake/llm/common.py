@@ -10,6 +10,8 @@ from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,20 +66,18 @@ def utf8(text: str | None) -> bytes:
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
-def units(text: str) -> list[str]:
-    """Cut a text where tokenizers that split on white space always cut, so that units encode alone as they do in place.
-
-    A space joins the unit after it. Where all white space is single spaces and line feeds between words, line feeds are
-    units of their own; other texts are only cut between a non-space and a space that a non-space follows."""
-    words = text.split()
-    gaps = len(words) - 1
-    if text.count(" ") + text.count("\n") == gaps and len("".join(words)) + gaps == len(text) and "\x01" not in text:
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-    return _SAFE.split(text)
+def _plain(text: str) -> bool:
+    """All white space is single spaces and line feeds between words. Other white space isn't printable."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return text.replace("\n", "").isprintable()
 
 
 class UnitEncoder:
-    """Token ids of texts as little-endian uint32 bytes. Each distinct unit goes through the tokenizer once while it
+    """Token ids of texts. Texts are cut into units where tokenizers that split on white space always cut, so that units
+    encode alone as they do in place: a space joins the unit after it, and where all white space is single spaces and
+    line feeds between words, line feeds are units of their own; other texts are only cut between a non-space and a
+    space that a non-space follows. Arrow finds a batch's distinct units; each goes through the tokenizer once while it
     stays in the cache, which holds two generations of at most ``entries`` units each. New units are encoded many at a
     time, joined by a separator that the tokenizer turns into one id of its own; which one is tried out at the start."""
 
@@ -99,10 +99,11 @@ class UnitEncoder:
     def _fill(self, new: list[str], known: dict[str, bytes]) -> None:
         plain, odd = [], []
         for u in new:
-            (plain if len(u) <= 64 and self.sep and len(u.split()) == 1 and u[-1:] > " " and "\x01" not in u else odd).append(u)
-        for a, b in slices(len(plain), 2048):
+            bare = u[1:] if u[:1] == " " else u
+            (plain if self.sep and len(u) <= 64 and bare.isprintable() and bare and " " not in bare else odd).append(u)
+        for a, b in slices(len(plain), 512):
             part = plain[a:b]
-            ids = np.asarray(self.tok.encode(self.sep.join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tok.encode_batch_fast([self.sep.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(ids == self.sep_id)
             if len(cut) != len(part) - 1:
                 odd += part
@@ -113,30 +114,62 @@ class UnitEncoder:
         for u, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
             known[u] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: Iterable[str | None], end: int | None = None) -> list[bytes]:
-        """texts: at most one Arrow batch. end: an id to append to each."""
-        cut = [units(t) if t else [] for t in texts]
+    def _known(self, distinct: list[str]) -> list[bytes]:
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
         known, old = self.young, self.old
-        new = set().union(*cut).difference(known)
+        new = [u for u in distinct if u not in known]
         if old:
             kept = [u for u in new if u in old]
             known.update(zip(kept, map(old.__getitem__, kept)))
-            new.difference_update(kept)
+            new = [u for u in new if u not in known]
         # A comma or full stop after a Latin letter is a token of its own: encode the stem, which more units share.
-        ended = [u for u in new if u[-1] in ",." and u[-2:-1].isalpha() and u[-2] < "\u0250"]
+        ended = [u for u in new if u[-1:] in (",", ".") and u[-2:-1].isalpha() and u[-2] < "\u0250"]
         stems = {u[:-1] for u in ended} | {u[-1] for u in ended}
-        self._fill(list((new.difference(ended) | stems).difference(known)), known)
+        self._fill(list(stems.union(new).difference(ended).difference(known)), known)
         for u in ended:
             known[u] = known[u[:-1]] + known[u[-1]]
-        tail = b"" if end is None else array("I", [end]).tobytes()
-        out = [b"".join(map(known.__getitem__, us)) + tail for us in cut]
+        out = list(map(known.__getitem__, distinct))
         for u in new:
             if len(u) > 64:
                 known.pop(u, None)
         return out
 
+    def encode(self, texts: pa.Array, end: int | None = None) -> list[memoryview]:
+        """The ids of each text (null: none) as little-endian uint32. end: an id to append to each."""
+        rows = texts.to_pylist()
+        plain = np.array([t is not None and _plain(t) for t in rows], bool)
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(pa.array(plain), texts, ""), " ", "\x01 "), "\n", "\x01\n\x01")
+        lists = pc.split_pattern(marked, "\x01")
+        odd = [[] if p or not t else _SAFE.split(t) for p, t in zip(plain, rows)]
+        per_row = np.where(plain, pc.list_value_length(lists).to_numpy(zero_copy_only=False), [len(o) for o in odd])
+        if plain.all():
+            flat = lists.flatten()
+        else:
+            kept = lists.filter(pa.array(plain)).flatten()
+            flat = pa.concat_arrays([kept, pa.array([u for o in odd for u in o], kept.type)])
+        coded = flat.dictionary_encode()
+        raw = self._known(coded.dictionary.to_pylist())
+        n_ids = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first = np.cumsum(n_ids) - n_ids
+        raw.append(b"" if end is None else np.array([end], "<u4").tobytes())
+        book = np.frombuffer(b"".join(raw), "<u4")
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])  # rows as flat has them
+        upto = np.cumsum(per_row[order])
+        starts, sizes = first[which], n_ids[which]
+        if end is not None:
+            starts, sizes = np.insert(starts, upto, len(book) - 1), np.insert(sizes, upto, 1)
+            upto = upto + np.arange(1, len(upto) + 1)
+        ends = np.cumsum(sizes)
+        ids = book[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = 4 * np.concatenate([[0], ends])[np.concatenate([[0], upto])]
+        view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        out: list[memoryview] = [view[:0]] * len(rows)
+        for row, x, y in zip(order.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[row] = view[x:y]
+        return out
+
 
 _encoders: dict[str, UnitEncoder] = {}
 

@@ -74,12 +74,12 @@ def _pack(batches: Iterable[pa.RecordBatch], vocabulary: str, size: int, end: in
     enc = encoder(vocabulary)
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for a, b in slices(len(doc_ids), 2000):
+        for a, b in slices(len(doc_ids), 5000):
             rows = []
-            for doc_id, ids in zip(doc_ids[a:b], enc.encode(batch.column(1).slice(a, b - a).to_pylist(), end)):
+            for doc_id, ids in zip(doc_ids[a:b], enc.encode(batch.column(1).slice(a, b - a), end)):
                 for k, (start, length) in enumerate(pieces(len(ids) // 4, size)):
                     part = ids[4 * start : 4 * (start + length)]
-                    rows.append((length, doc_id, k, start, zlib.crc32(part), part if with_ids else None))
+                    rows.append((length, doc_id, k, start, zlib.crc32(part), bytes(part) if with_ids else None))
             rows.sort(key=lambda r: -r[0])
             places = [fit.place(r[0]) for r in rows]
             columns = [

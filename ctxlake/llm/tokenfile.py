@@ -183,9 +183,9 @@ def _write(batches: Iterable[pa.RecordBatch], vocabulary: str, end: int, folder:
     with system.open_output_stream(f"{base}/{name}") as out:
         writer = Writer(out)
         for batch in batches:
-            for a, b in slices(batch.num_rows, 2000):
+            for a, b in slices(batch.num_rows, 5000):
                 part = batch.slice(a, b - a)
-                for doc_id, order, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2).to_pylist(), end)):
+                for doc_id, order, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2), end)):
                     first = (doc_id, order) if not n_docs else first
                     writer.add(doc_id, raw)
                     n_docs, n_ids = n_docs + 1, n_ids + len(raw) // 4
