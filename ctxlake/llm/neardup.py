@@ -7,8 +7,9 @@
 2. Documents with equal sets collapse to their smallest doc_id before anything else is compared.
 3. 42 bands of 6 compressed registers give band keys. At similarity 0.8 a pair shares none with a chance of 3e-6.
 4. In rounds, each band group compares its members with one leader, then those outside the leader's component with up to
-   LEADERS new leaders, and so on until every group's remaining components have been compared in full. A round's rows
-   grow in proportion to the groups, no matter how large they are; no group is gathered and none expands to all pairs.
+   LEADERS new leaders, and so on until every group's remaining components have been compared in full. Pairs that the
+   triangle inequality rules out, by their distances from the first leader, aren't formed. A round's rows grow in
+   proportion to the groups, no matter how large they are; no group is gathered and none expands to all pairs.
 5. Pairs pass a collision-corrected estimate from the registers (five standard deviations of slack) and are then
    confirmed on full sets, which only documents that share a band have made again from their texts.
 6. Components come from min-label propagation with pointer jumping over written tables, never on the driver.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ctxlake.llm.common import LOWER, staged, unstage, utf8
 
-BUCKETS, MANTISSA, ROWS, BANDS, LEADERS, SIGMAS = 256, 10, 6, 42, 16, 5.0
+BUCKETS, MANTISSA, ROWS, BANDS, LEADERS, SIGMAS = 256, 10, 6, 42, 64, 5.0
 WORDS, PERCENT = 5, 80
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -131,7 +132,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def _near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose estimate leaves the wanted similarity possible."""
+    """For each pair the greatest similarity that its estimate leaves possible, or less where the sizes allow less."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -140,26 +141,25 @@ def _near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         regs = [np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(-1, BUCKETS) for s in (s_a, s_b)]
         want = percent / 100
         slack = SIGMAS * np.sqrt(want * (1 - want) / np.minimum(BUCKETS, np.maximum(n_a, n_b)))
-        ok = (estimate(*regs, n_a, n_b) >= want - slack) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-        yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (a, b)], ["a", "b"])
+        most = np.minimum(estimate(*regs, n_a, n_b) + slack, np.minimum(n_a, n_b) / np.maximum(1, np.maximum(n_a, n_b)))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(most, pa.float64())], ["a", "b", "most"])
 
 
-def _linked(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are as similar as wanted."""
+def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the sizes of their full sets' intersection and union."""
     for batch in batches:
         a, b, s_a, s_b = (batch.column(i).to_pylist() for i in range(4))
-        keep = []
+        shared, union = [], []
         last, x = None, None
-        for i, (p, q) in enumerate(zip(s_a, s_b)):
+        for p, q in zip(s_a, s_b):
             if p is not last:
                 last, x = p, np.frombuffer(p, np.uint64)
             y = np.frombuffer(q, np.uint64)
             both = np.concatenate([x, y])
             both.sort(kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
+            union.append(len(both) - shared[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "both"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,35 +200,49 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sizes = staged(heads.join(candidates, "id", "left_semi").select("id", "n_shingles", "sketch"), "sketches")
     unstage(heads)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with least and most, between which their distance lies: equal where full sets were compared."""
         a, b = (sizes.toDF(side, f"n_{side}", f"s_{side}") for side in "ab")
-        close = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-        close = close.mapInArrow(lambda it: _near(it, percent), "a long, b long").distinct()
+        met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+        met = staged(met.mapInArrow(lambda it: _near(it, percent), "a long, b long, most double").groupBy("a", "b").agg(F.max("most").alias("most")), "met")
+        near = F.col("most") >= percent / 100 - 1e-9
         a, b = (needed.toDF(side, f"h_{side}") for side in "ab")
-        full = close.join(b, "b").join(a, "a").select("a", "b", "h_a", "h_b")
-        return full.mapInArrow(lambda it: _linked(it, percent), "a long, b long").distinct()
+        full = met.where(near).join(b, "b").join(a, "a").select("a", "b", "h_a", "h_b").mapInArrow(_compared, "a long, b long, shared long, both long")
+        # A doc_id with several texts is as near as the nearest of them, but its distances prove nothing.
+        exact = full.groupBy("a", "b").agg(F.max(100 * F.col("shared") >= percent * F.col("both")).alias("linked"), F.min(1 - F.col("shared") / F.col("both")).alias("least"), F.max(1 - F.col("shared") / F.col("both")).alias("most"))
+        far = met.where(~near).select("a", "b", F.lit(False).alias("linked"), (1 - F.col("most")).alias("least"), F.lit(1.0).alias("most"))
+        return staged(exact.union(far), "compared")
 
+    reach = 1 - percent / 100 + 1e-9
     tried = staged(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    links = staged(confirm(tried), "links")
+    compared = compare(tried)
+    links = compared.where("linked").select("a", "b")
     done = members.selectExpr("key", "leader id").distinct()
-    open_ = members.select("key", "id")
+    # How far each member is from its group's first leader rules out most other pairs of the group, as distances between
+    # sets obey the triangle inequality.
+    seen = compared.select(F.col("a").alias("leader"), F.col("b").alias("id"), "least", "most")
+    members = staged(members.join(seen, ["leader", "id"], "left").select("key", "id", F.coalesce("least", F.lit(0.0)).alias("least"), F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.coalesce("most", F.lit(1.0))).alias("most")), "members")
+    open_, labels = members, components(links)
     while True:
-        labels = components(links)
-        now = open_.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        now = open_.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "low")
-        left = staged(now.join(split, "key").select("key", "id", "c", "low"), "open")
+        left = staged(now.join(split, "key").select("key", "id", "least", "most", "c", "low"), "open")
         # The component with the smallest label needs no leaders: all others are compared with it.
         waiting = left.where("c <> low").join(done, ["key", "id"], "left_anti")
         ranked = waiting.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= LEADERS)
-        leaders = staged(ranked.select("key", F.col("id").alias("leader"), F.col("c").alias("own")), "leaders")
+        leaders = staged(ranked.select("key", F.col("id").alias("leader"), F.col("c").alias("own"), F.col("least").alias("own_least"), F.col("most").alias("own_most")), "leaders")
         if not leaders.limit(1).count():
             break
-        pairs = left.join(leaders, "key").where("c <> own").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        possible = (F.col("least") - F.col("own_most") <= reach) & (F.col("own_least") - F.col("most") <= reach)
+        pairs = left.join(leaders, "key").where((F.col("c") != F.col("own")) & possible).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
         new = staged(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        more = staged(confirm(new), "links")
-        links, tried = links.union(more), tried.union(new)
+        more = compare(new).where("linked").select("a", "b")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = components(links)
+        tried = tried.union(new)
         done = done.union(leaders.selectExpr("key", "leader id"))
-        open_ = left.select("key", "id")
+        open_ = left.select("key", "id", "least", "most")
     everything = components(links.union(equal))
     out = signed.join(everything.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.col("component").isNull() | (F.col("component") == F.col("doc_id"))).alias("kept"))
