@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -95,6 +96,10 @@ class UnitEncoder:
             if len(s) == 1 and one(sep.join(("a", " b,", "c!", " d"))) == [*one("a"), *s, *one(" b,"), *s, *one("c!"), *s, *one(" d")]:
                 self.sep, self.sep_id = sep, s[0]
                 break
+        steps = json.loads(self.tok.to_str())
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        #: The tokenizer itself lowers all letters and drops white space, so units may do so before they are compared.
+        self.folds = "Lowercase" in kinds and one("Ab,\n Cd") == one("ab, cd") == [*one("ab,"), *one("cd")]
 
     def _fill(self, new: list[str], known: dict[str, bytes]) -> None:
         plain, odd = [], []
@@ -139,8 +144,11 @@ class UnitEncoder:
         """The ids of each text (null: none) as little-endian uint32. end: an id to append to each."""
         rows = texts.to_pylist()
         plain = np.array([t is not None and _plain(t) for t in rows], bool)
-        marked = pc.replace_substring(pc.replace_substring(pc.if_else(pa.array(plain), texts, ""), " ", "\x01 "), "\n", "\x01\n\x01")
-        lists = pc.split_pattern(marked, "\x01")
+        marked = pc.if_else(pa.array(plain), texts, "")
+        if self.folds:
+            lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(marked), "\n", " "), " ")
+        else:
+            lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(marked, " ", "\x01 "), "\n", "\x01\n\x01"), "\x01")
         odd = [[] if p or not t else _SAFE.split(t) for p, t in zip(plain, rows)]
         per_row = np.where(plain, pc.list_value_length(lists).to_numpy(zero_copy_only=False), [len(o) for o in odd])
         if plain.all():

@@ -48,11 +48,16 @@ def pack_words(codes: np.ndarray) -> np.ndarray:
     widest = np.searchsorted(BITS, int(codes.max()).bit_length())
     padded = np.concatenate([codes.astype(np.uint64), np.zeros(60, np.uint64)])
     best = np.full(n, widest, np.int8)
-    at, far, back = np.arange(n, dtype=np.int32), np.int32(n + 60), codes[::-1]
-    turned = at[::-1]
-    for k in range(widest - 1, -1, -1):  # until: where the next code is that this selector's bits can't hold
-        until = np.minimum.accumulate(np.where(back >= (1 << int(BITS[k])), turned, far))[::-1]
-        best[until - at >= COUNTS[k]] = k
+    at = np.arange(n, dtype=np.int32)
+    turned = np.ascontiguousarray(codes[::-1])
+    for k in range(widest - 1, -1, -1):
+        wide = turned >= (1 << int(BITS[k]))
+        if 3 * np.count_nonzero(wide) > 2 * n:  # where most codes are wider, and so than all narrower selectors too
+            break
+        # how many codes from here on this selector's bits can hold; what follows the last code is free
+        room = at - np.maximum.accumulate(np.where(wide, at, np.int32(-61)))
+        best[room >= COUNTS[k]] = k
+    best = best[::-1]
     steps, counts, i, starts = best.tolist(), COUNTS.tolist(), 0, []
     while i < n:
         starts.append(i)
@@ -183,7 +188,7 @@ def _write(batches: Iterable[pa.RecordBatch], vocabulary: str, end: int, folder:
     with system.open_output_stream(f"{base}/{name}") as out:
         writer = Writer(out)
         for batch in batches:
-            for a, b in slices(batch.num_rows, 5000):
+            for a, b in slices(batch.num_rows, 3000):
                 part = batch.slice(a, b - a)
                 for doc_id, order, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2), end)):
                     first = (doc_id, order) if not n_docs else first
