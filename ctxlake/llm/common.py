@@ -74,6 +74,9 @@ def _plain(text: str) -> bool:
     return text.replace("\n", "").isprintable()
 
 
+_MARKS = ".,!?;:*#%$&|"
+
+
 class UnitEncoder:
     """Token ids of texts. Texts are cut into units where tokenizers that split on white space always cut, so that units
     encode alone as they do in place: a space joins the unit after it, and where all white space is single spaces and
@@ -128,12 +131,16 @@ class UnitEncoder:
             kept = [u for u in new if u in old]
             known.update(zip(kept, map(old.__getitem__, kept)))
             new = [u for u in new if u not in known]
-        # A comma or full stop after a Latin letter is a token of its own: encode the stem, which more units share.
-        ended = [u for u in new if u[-1:] in (",", ".") and u[-2:-1].isalpha() and u[-2] < "\u0250"]
-        stems = {u[:-1] for u in ended} | {u[-1] for u in ended}
-        self._fill(list(stems.union(new).difference(ended).difference(known)), known)
-        for u in ended:
-            known[u] = known[u[:-1]] + known[u[-1]]
+        # Marks after a Latin letter are a token run of their own: encode the stem, which more units share.
+        ended = {}
+        for u in new:
+            stem = u.rstrip(_MARKS)
+            if len(stem) < len(u) and stem[-1:].isalpha() and stem[-1] < "\u0250":
+                ended[u] = stem
+        parts = {x for u, stem in ended.items() for x in (stem, u[len(stem) :])}
+        self._fill(list(parts.union(new).difference(ended).difference(known)), known)
+        for u, stem in ended.items():
+            known[u] = known[stem] + known[u[len(stem) :]]
         out = list(map(known.__getitem__, distinct))
         for u in new:
             if len(u) > 64:
