@@ -149,8 +149,11 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> list[memoryview]:
         """The ids of each text (null: none) as little-endian uint32. end: an id to append to each."""
-        rows = texts.to_pylist()
-        plain = np.array([t is not None and _plain(t) for t in rows], bool)
+        if self.folds:  # white space is dropped, so any of it may part units
+            rows, plain = [None] * len(texts), texts.is_valid().to_numpy(zero_copy_only=False)
+        else:
+            rows = texts.to_pylist()
+            plain = np.array([t is not None and _plain(t) for t in rows], bool)
         marked = pc.if_else(pa.array(plain), texts, "")
         if self.folds:
             lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(marked), "\n", " "), " ")
