@@ -4,7 +4,8 @@ Passages are the lines of a text that carry a license cue, and the whole text of
 and license templates become sparse vectors of words, weighted by frequencies over all passages of the corpus and the
 templates, and a passage takes the template with the greatest cosine if it is at least ``least``. A file takes its best
 passage; one without any inherits from the licence file in the nearest directory above it. For that, distinct
-directories, not files, are spread over their ancestors and joined with the licensed directories by path.
+directories, not files, are spread over their ancestors and joined with the licensed directories by path. A passage that
+only reserves all rights, as those above a BSD license do, counts where no other passage names a license.
 
 Null texts have no passages. A null path has no directory and inherits nothing. Repeated rows are judged each; ties go to
 the greater score, then the smaller license name. Where a directory has several licence files, the best score counts.
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from ctxlake.llm.columns import literal
 from ctxlake.llm.common import staged
 
-CUE, FILE_NAME, LEAST = r"(?i)licen[cs]|copyright|spdx-|permission is hereby|redistribut|warrant(?:y|ies)\b", r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$", 0.35
+#: Every template has a cue; lines without one are never scored.
+CUE = r"(?i)licen[cs]|copyright|spdx-|permission is hereby|redistribut|warrant(?:y|ies)\b|all\s+rights\s+reserved|public\s+domain|\bcc0\b|\bcc[ -]by\b|creative\s+commons|proprietary"
+FILE_NAME, LEAST = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$", 0.35
 #: (license, text): short notices and the openings of the licenses.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -44,8 +47,11 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Proprietary and confidential."),
 ]
+#: In passages of proprietary licenses that do more than reserve all rights.
+CLOSED = "(?i)proprietary|confidential"
 #: Words, with version numbers kept whole.
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
 
@@ -84,10 +90,13 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     scored = dots.join(norms, "passage").select("passage", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("minus"), "license"))
     licensed = scored.groupBy("passage").agg(best.alias("b")).select("passage", "b.license", (-F.col("b.minus")).alias("score"))
-    own = each.join(licensed, "passage").groupBy("row").agg(best.alias("b")).select("row", F.col("b.license").alias("own"), (-F.col("b.minus")).alias("own_score"))
+    # False sorts before true, so that what only reserves rights comes last.
+    reserved = (F.col("license") == "Proprietary") & ~F.col("body").rlike(CLOSED)
+    first = F.min(F.struct(reserved.alias("reserved"), (-F.col("score")).alias("minus"), "license"))
+    own = each.join(licensed, "passage").groupBy("row").agg(first.alias("b")).select("row", F.col("b.license").alias("own"), (-F.col("b.minus")).alias("own_score"), F.col("b.reserved").alias("reserved"))
     judged = staged(kept.drop("passages").join(own, "row", "left"), "licensed")
 
-    from_files = judged.where("is_file and own is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "own", "path")).alias("b"))
+    from_files = judged.where("is_file and own is not null").groupBy("dir").agg(F.min(F.struct("reserved", (-F.col("own_score")).alias("minus"), "own", "path")).alias("b"))
     above = from_files.select(F.col("dir").alias("ancestor"), F.col("b.own").alias("license"), (-F.col("b.minus")).alias("score"), F.col("b.path").alias("licensed_by"))
     dirs = judged.where("own is null and dir is not null").select("dir").distinct()
     spread = dirs.select("dir", F.explode(F.expr("transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")).alias("ancestor"))
