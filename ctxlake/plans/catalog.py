@@ -77,11 +77,17 @@ def store_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def benchmark_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that hold a whole item: an item's rarest-looking word, its longest, finds the candidates by an equi-join."""
-    longest = F.expr("element_at(array_sort(regexp_extract_all(text, '[^ \\n]+', 0), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 1)")
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), longest.alias("word"))
-    words = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.expr("regexp_extract_all(text, '[^ \\n]+', 0)"))).alias("word"))
-    return words.join(items, "word").where(F.contains("text", "item")).select("doc_id", "item_id")
+    """Texts that hold a whole item. An item's first and last words may have other characters attached in a document, but
+    those between stand alone: the longest of them finds the candidates by an equi-join. Items of fewer than three words
+    have none and are looked for in every text."""
+    longest = F.expr("element_at(array_sort(slice(words, 2, size(words) - 2), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end), 1)")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.expr("regexp_extract_all(text, '[^ \\n]+', 0)").alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = docs.withColumn("word", F.explode(F.array_distinct(F.expr("regexp_extract_all(text, '[^ \\n]+', 0)"))))
+    inner = items.where("size(words) >= 3").select("item_id", "item", longest.alias("word"))
+    found = words.join(inner, "word").where(F.contains("text", "item")).select("doc_id", "item_id")
+    short = items.where("size(words) < 3").select("item_id", "item")
+    return found.unionByName(docs.join(short, F.contains("text", "item")).select("doc_id", "item_id"))
 
 
 @query("select doc_id, (m.h is null or sha256(d.text) <> m.h) as stale, case when m.h is null then 'missing' when sha256(d.text) <> m.h then 'changed' end as reason from documents d left join (select doc_id, sha256(case when doc_id % 3 = 0 then text || '!' else text end) as h from documents where doc_id % 7 <> 0) m using (doc_id)")
