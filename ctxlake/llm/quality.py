@@ -32,14 +32,58 @@ TABLE_BITS, DIM, EPOCHS, LEAST_STEPS, RATE, BATCH, SEED = 18, 8, 6, 400, 4.0, 64
 MOST_ROWS, MOST_CHARS, FOLDS, THRESHOLD = 5000, 24_000_000, 5, 0.3
 
 
+#: Words up to SHORT bytes are hashed one by one, longer ones with numpy, from PIECE places at a time; only short ones are
+#: held in the scorer's cache.
+SHORT, PIECE = 60, 1 << 18
+
+
 def features(word: bytes) -> list[int]:
     """Table rows of a word and its character n-grams (over bytes, with marks at both ends)."""
-    marked = b"<" + word[:60] + b">"
+    marked = b"<" + word + b">"
     rows = [zlib.crc32(b"w" + word)]
     rows += [zlib.crc32(marked[i : i + n]) for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
     return [r & ((1 << TABLE_BITS) - 1) for r in rows]
 
 
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+_CRC = _crc_table()
+
+
+def long_features(word: bytes) -> Iterator[np.ndarray]:
+    """The rows of features(), in another order and piece by piece, so that a word may be as long as a text."""
+    mask = np.uint32((1 << TABLE_BITS) - 1)
+    yield np.array([zlib.crc32(word, zlib.crc32(b"w"))], np.uint32) & mask
+    marked = np.frombuffer(b"<" + word + b">", np.uint8)
+    for at in range(0, len(marked), PIECE):
+        part = marked[at : at + PIECE + 3]
+        c = np.full(min(PIECE, len(part)), 0xFFFFFFFF, np.uint32)
+        for k in range(4):
+            m = min(PIECE, len(part) - k)
+            if m <= 0:
+                break
+            c = _CRC[(c[:m] ^ part[k : k + m]) & 255] ^ (c[:m] >> 8)
+            if k:
+                yield ~c & mask
+
+
+def profile(word: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Table rows of a word, how often it has each, and how many that is together."""
+    if len(word) <= SHORT:
+        rows = np.array(features(word), np.int32)
+        return rows, np.ones(len(rows), np.float32), len(rows)
+    each = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for rows in long_features(word):
+        r, back = np.unique(np.concatenate([each[0], rows]), return_inverse=True)
+        each = r, np.bincount(back, np.concatenate([each[1], np.ones(len(rows), np.int64)]))
+    return each[0].astype(np.int32), each[1].astype(np.float32), int(each[1].sum())
+
+
 REPEAT = b"\x00again"
 
 
@@ -54,7 +98,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(SEED)
     size = 1 << TABLE_BITS
     docs = []
-    known: dict[bytes, np.ndarray] = {}
+    known: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
     for text in texts:
         words, again = tokens(text)
         n_each: dict[bytes, int] = {}
@@ -66,9 +110,10 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         total = len(words) + again
         for w, n in n_each.items():
             if w not in known:
-                known[w] = np.array(features(w), np.int32)
-            rows.append(known[w])
-            weights.append(np.full(len(known[w]), n / total / len(known[w]), np.float32))
+                known[w] = profile(w)
+            own, times, size_w = known[w]
+            rows.append(own)
+            weights.append(times * np.float32(n / total / size_w))
         if rows:
             r, back = np.unique(np.concatenate(rows), return_inverse=True)
             docs.append((r.astype(np.int32), np.bincount(back, np.concatenate(weights)).astype(np.float32)))
@@ -133,8 +178,13 @@ class Scorer:
     def _word(self, word: bytes) -> float:
         if len(self.cache) > 600_000:
             self.cache.clear()
-        rows = features(word)
-        v = self.cache[word] = float(self.weights[rows].mean())
+        if len(word) > SHORT:
+            total, n = 0.0, 0
+            for rows in long_features(word):
+                total += float(self.weights[rows].sum(dtype=np.float64))
+                n += len(rows)
+            return total / n
+        v = self.cache[word] = float(self.weights[features(word)].mean())
         return v
 
     def score(self, text: str | None) -> float:

@@ -1,6 +1,7 @@
-from pyspark.sql import functions as F
+import random
+from collections import Counter
 
-from ctxlake.llm import licenses
+from ctxlake.llm import licenses, quality
 
 
 def test_every_license_template_is_found_as_a_header(spark):
@@ -14,3 +15,35 @@ def test_every_license_template_is_found_as_a_header(spark):
     assert got[1001] == ("Proprietary", "header") and got[1002] == ("MIT", "inherited")
     assert got[1003] == ("BSD-3-Clause", "header") and got[1006] == ("MIT", "inherited")
     assert got[1007] == ("Proprietary", "header")
+
+
+def test_long_words_count_whole():
+    rng = random.Random(4)
+    for word in (b"x", b"ab" * 29 + b"yz", b"q" * 61, rng.randbytes(300), "日本語".encode() * 40, b"ab" * 5000):
+        rows, times, n = quality.profile(word)
+        want = Counter(quality.features(word))
+        got = Counter()
+        for r, t in zip(rows.tolist(), times.tolist()):
+            got[r] += int(t)
+        assert got == want and n == sum(want.values()) == 3 * len(word) + 1
+        whole = Counter(int(r) for part in quality.long_features(word) for r in part)
+        assert whole == want
+
+
+def test_long_words_in_pieces(monkeypatch):
+    word = random.Random(5).randbytes(1000)
+    one = Counter(int(r) for part in quality.long_features(word) for r in part)
+    for piece in (1, 2, 3, 7, 1000, 1001, 1002):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert Counter(int(r) for part in quality.long_features(word) for r in part) == one
+
+
+def test_what_stands_behind_byte_60_of_a_word_is_learned():
+    rng = random.Random(6)
+    head = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往"
+    kinds = ["秋收冬藏閏餘成歲律呂調陽", "雲騰致雨露結為霜金生麗水"]
+    text = lambda y: head + "".join(rng.choices(kinds[y], k=60))
+    labels = [i % 2 for i in range(200)]
+    scorer = quality.Scorer(*quality.train([text(y) for y in labels], labels))
+    scores = [(scorer.score(text(y)), y) for y in labels]  # new texts, so only n-grams tell
+    assert all((s > 0.5) == (y == 1) for s, y in scores)
