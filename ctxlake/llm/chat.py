@@ -29,8 +29,8 @@ _PAIR = "named_struct('role', {0}, 'text', coalesce({1}, ''))"
 _MAPPED = "coalesce(element_at(map('human', 'user', 'gpt', 'assistant', 'chatgpt', 'assistant', 'bot', 'assistant'), {0}), {0}, '')"
 _SYSTEM = "if(m['system'] is null, array(), array(" + _PAIR.format("'system'", "m['system']") + "))"
 LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
-    "messages": (("messages", "messages[].content", "messages[].role"), ("system",), f"concat({_SYSTEM}, transform(l['messages'], x -> {_PAIR.format("coalesce(x['role'], '')", "x['content']")}))"),
-    "conversations": (("conversations", "conversations[].from", "conversations[].value"), ("system",), f"concat({_SYSTEM}, transform(l['conversations'], x -> {_PAIR.format(_MAPPED.format("x['from']"), "x['value']")}))"),
+    "messages": (("messages", "messages[].content", "messages[].role"), ("system",), f"concat({_SYSTEM}, transform(filter(l['messages'], x -> x is not null), x -> {_PAIR.format("coalesce(x['role'], '')", "x['content']")}))"),
+    "conversations": (("conversations", "conversations[].from", "conversations[].value"), ("system",), f"concat({_SYSTEM}, transform(filter(l['conversations'], x -> x is not null), x -> {_PAIR.format(_MAPPED.format("x['from']"), "x['value']")}))"),
     "instruction": (("instruction", "output"), ("input", "system"), f"concat({_SYSTEM}, array({_PAIR.format("'user'", "concat(m['instruction'], if(coalesce(m['input'], '') = '', '', concat('\\n\\n', m['input'])))")}, {_PAIR.format("'assistant'", "m['output']")}))"),
     "prompt_response": (("prompt", "response"), ("system",), f"concat({_SYSTEM}, array({_PAIR.format("'user'", "m['prompt']")}, {_PAIR.format("'assistant'", "m['response']")}))"),
     "prompt_completion": (("completion", "prompt"), ("system",), f"concat({_SYSTEM}, array({_PAIR.format("'user'", "m['prompt']")}, {_PAIR.format("'assistant'", "m['completion']")}))"),
@@ -58,7 +58,7 @@ def canonical(records: DataFrame, json_col: str = "record") -> DataFrame:
     """``records`` with fingerprint, layout and turns."""
     j = f"`{json_col}`"
     lists = "map_from_entries(transform(filter(map_entries(m), e -> substr(ltrim(e.value), 1, 1) = '['), e -> named_struct('key', e.key, 'value', from_json(e.value, 'array<map<string,string>>'))))"
-    nested = "flatten(transform(map_entries(l), e -> transform(array_distinct(flatten(transform(e.value, x -> map_keys(x)))), k -> concat(e.key, '[].', k))))"
+    nested = "flatten(transform(map_entries(l), e -> transform(array_distinct(flatten(transform(coalesce(e.value, array()), x -> coalesce(map_keys(x), array())))), k -> concat(e.key, '[].', k))))"
     inner = "flatten(transform(filter(map_entries(m), e -> substr(ltrim(e.value), 1, 1) = '{'), e -> transform(coalesce(map_keys(from_json(e.value, 'map<string,string>')), array()), k -> concat(e.key, '.', k))))"
     known = f"array({', '.join(map(literal, VOCABULARY))})"
     # A null value, as an absent optional field often has, is no field.

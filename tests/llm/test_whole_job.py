@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from ctxlake.llm import licenses, quality
+from ctxlake.llm import chat, licenses, quality
 
 
 def test_every_license_template_is_found_as_a_header(spark):
@@ -47,3 +47,11 @@ def test_what_stands_behind_byte_60_of_a_word_is_learned():
     scorer = quality.Scorer(*quality.train([text(y) for y in labels], labels))
     scores = [(scorer.score(text(y)), y) for y in labels]  # new texts, so only n-grams tell
     assert all((s > 0.5) == (y == 1) for s, y in scores)
+
+
+def test_fields_that_no_layout_knows_leave_the_layout(spark):
+    m, c = '"messages":[{"role":"user","content":"q"}]', '"conversations":[{"from":"human","value":"q"}]'
+    q = ("user", "q")
+    want = {f'{{{m},"tags":["a","b"]}}': [q], f'{{{m},"scores":[1,2]}}': [q], f'{{{m},"t":[null,{{"a":1}}]}}': [q], f'{{{c},"w":[0.5]}}': [q], f'{{{m},"system":"[be brief]"}}': [("system", "[be brief]"), q], '{"messages":[{"role":"user","content":"q"},null]}': [q]}
+    rows = chat.format_records(spark.createDataFrame([(k,) for k in want], "record string")).collect()
+    assert {r.record: r.turns and [tuple(t) for t in r.turns] for r in rows} == want and all(r.formatted for r in rows)
