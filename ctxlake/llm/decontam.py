@@ -294,6 +294,14 @@ def _cut(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str | None]],
         yield out.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
 
+def _cut_spans(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches without their last column, the spans, which are cut from the texts."""
+    for batch in batches:
+        texts = [without(text, np.array([(s["start"], s["end"]) for s in spans])) if spans else text for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+        out = batch.select(batch.schema.names[:-1])
+        yield out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+
+
 def without(text: str, spans: np.ndarray) -> str:
     """The text without these ranges of words; what stands between two words of a range goes with them."""
     raw = utf8(text)
@@ -311,20 +319,16 @@ def without(text: str, spans: np.ndarray) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = ITEMS) -> DataFrame:
     """``docs`` with all its columns, without the contaminated documents (phrases of ``least_items`` items or more); the
     merged spans of other hits are cut from the texts, and n_chars, where there is such a column, counted again."""
-    out = docs
     blocks = list(_blocks(benchmark))
-    if len(blocks) > 1:  # items add up over blocks
+    if len(blocks) > 1:  # items add up and spans merge over blocks, so the texts are cut once, at the end
         rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
-        bad = judge_rows(rows, benchmark, window, least_items)
-        out = rows.join(bad, "__row", "left_anti").drop("__row")
-    for items in blocks:
-        at, limit = out.columns.index("text"), least_items if len(blocks) == 1 else 1 << 60
-        out = out.mapInArrow(lambda it, items=items, at=at, limit=limit: _cut(it, items, window, limit, at), out.schema)
+        found = find_overlaps(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
+        mild = found.where(F.size("items") < least_items).select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))
+        marked = rows.join(mild, "__row").select(*docs.columns, "__spans")
+        out = marked.mapInArrow(lambda it, at=docs.columns.index("text"): _cut_spans(it, at), docs.schema)
+    else:
+        items, at = blocks[0] if blocks else [], docs.columns.index("text")
+        out = docs.mapInArrow(lambda it: _cut(it, items, window, least_items, at), docs.schema) if blocks else docs
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out
-
-
-def judge_rows(rows: DataFrame, benchmark: DataFrame, window: int, least_items: int) -> DataFrame:
-    found = find_overlaps(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
-    return found.where(F.size("items") >= least_items).select(F.col("doc_id").alias("__row"))

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from ctxlake.llm import chat, licenses, quality
+from ctxlake.llm import chat, decontam, licenses, quality
 
 
 def test_every_license_template_is_found_as_a_header(spark):
@@ -55,3 +55,13 @@ def test_fields_that_no_layout_knows_leave_the_layout(spark):
     want = {f'{{{m},"tags":["a","b"]}}': [q], f'{{{m},"scores":[1,2]}}': [q], f'{{{m},"t":[null,{{"a":1}}]}}': [q], f'{{{c},"w":[0.5]}}': [q], f'{{{m},"system":"[be brief]"}}': [("system", "[be brief]"), q], '{"messages":[{"role":"user","content":"q"},null]}': [q]}
     rows = chat.format_records(spark.createDataFrame([(k,) for k in want], "record string")).collect()
     assert {r.record: r.turns and [tuple(t) for t in r.turns] for r in rows} == want and all(r.formatted for r in rows)
+
+
+def test_removal_in_blocks_is_the_same(spark, monkeypatch):
+    w = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(w[5:17])), (2, " ".join(w[12:24])), (3, " ".join(w[:5] + w[24:30]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(w), 7), (1, "clean", 7), (None, None, 7), (2, " ".join(w[5:17]), 7)], "doc_id long, text string, n_chars int")
+    key = lambda: sorted(map(repr, decontam.remove(docs, bench, least_items=9).collect()))
+    one = key()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
+    assert key() == one and any("w4 " in r and "w12" not in r for r in one)
