@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 BLOCK = 512
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def running(pairs: str) -> str:
     """SQL for the ranges [start, end) that an array of struct<gap: long, size: long> lays end to end: each begins gap
     after the last one's end. Sums go over blocks first, so that long arrays don't cost their length squared."""

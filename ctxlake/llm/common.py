@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -14,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ctxlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,6 +57,26 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a side that may be broadcast, and rows of one key that a sort-merge join shouldn't bring into one task.
+SMALL, HOT = 50_000, 100_000
+
+
+def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` (staged: it is counted) with a broadcast hint if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, hot: int = HOT, most: int = SMALL) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``. ``small`` (staged) has one row per key and in ``weight`` how many rows of
+    ``big`` have it: keys of ``hot`` rows or more, which are few, are broadcast, so that only the others are shuffled."""
+    heavy = small.where(F.col(weight) >= hot)
+    n = heavy.limit(most + 1).count()
+    if not n or n > most:
+        return big.join(small, key)
+    rest = big.join(F.broadcast(heavy.select(key)), key, "left_anti").join(small.where(F.col(weight) < hot), key)
+    return big.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,7 +99,7 @@ def _plain(text: str) -> bool:
     return text.replace("\n", "").isprintable()
 
 
-_MARKS = ".,!?;:*#%$&|"
+_MARKS, LONG_TEXT = ".,!?;:*#%$&|", 8 << 20
 
 
 class UnitEncoder:
@@ -148,7 +173,24 @@ class UnitEncoder:
         return out
 
     def encode(self, texts: pa.Array, end: int | None = None) -> list[memoryview]:
-        """The ids of each text (null: none) as little-endian uint32. end: an id to append to each."""
+        """The ids of each text (null: none) as little-endian uint32. end: an id to append to each. Texts of more than
+        LONG_TEXT bytes are encoded in parts, so that what is held besides ids doesn't grow with them."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        if not len(sizes) or sizes.max() <= LONG_TEXT:
+            return self._encode(texts, end)
+        long = np.flatnonzero(sizes > LONG_TEXT)
+        out = self._encode(pc.if_else(pa.array(sizes > LONG_TEXT), "", texts), end)
+        for i in long.tolist():
+            text, ids, a = texts[i].as_py(), [], 0
+            while a < len(text):
+                found = _SAFE.search(text, a + LONG_TEXT // 4) if a + LONG_TEXT // 4 < len(text) else None
+                b = found.start() if found else len(text)
+                ids.append(bytes(self._encode(pa.array([text[a:b]], texts.type))[0]))
+                a = b
+            out[i] = memoryview(b"".join([*ids, out[i]]))
+        return out
+
+    def _encode(self, texts: pa.Array, end: int | None = None) -> list[memoryview]:
         if self.folds:  # white space is dropped, so any of it may part units
             rows, plain = [None] * len(texts), texts.is_valid().to_numpy(zero_copy_only=False)
         else:
@@ -189,11 +231,29 @@ class UnitEncoder:
         return out
 
 
+_user = [""]
+
+
+def fresh(user: str) -> None:
+    """Python workers serve one operator after another. Called as a task begins: where the last one was another's, what
+    that kept is dropped and freed pages go back, so that an executor never holds several operators' memory."""
+    if _user[0] != user:
+        _user[0] = user
+        _encoders.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 _encoders: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
     """One per Python worker and vocabulary file."""
+    fresh(path)
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]

@@ -1,129 +1,152 @@
 """Quality classifier: supervised subword embeddings.
 
-A word is the mean of learned vectors: one for the word and one for each of its character 2- to 4-grams, all hashed into
-one table; a repetition of the word before adds a word 2-gram of its own. A text is the mean of its words, and a softmax
-layer over it gives the score. Vectors and layer are trained together by mini-batch stochastic gradient descent in
-numpy, on the driver, on a bounded sample of labelled texts: MOST_ROWS rows of the smallest hashes of their ids, up to
-MOST_CHARS characters together. That bound holds at any size of the corpus; scoring covers all rows and whole texts.
+A word is the mean of learned vectors: one for the word and one for each of its character 2- to 4-grams, over bytes with
+marks at both ends. Every two words in a row are a word 2-gram with a vector of its own; those of a word with itself also
+back off to one vector that all such 2-grams share, as most of them were never seen in training. All are hashed into one
+table. A text is the mean of its words and word 2-grams, and a softmax layer over it gives the score. Vectors and layer are trained
+together by mini-batch stochastic gradient descent in numpy, on the driver, on a bounded sample of labelled texts:
+MOST_ROWS rows of the smallest hashes of their ids, of which texts are taken while MOST_CHARS characters suffice; one that
+no longer fits is left out and those after it still count. That bound holds at any size of the corpus; scoring covers all
+rows and whole texts.
 
 For scoring, layer and vectors fold into one number per table row (the difference of the two classes), which is all that
-goes to the executors (2 MB). Seeds are fixed and the sample is sorted, so training twice gives the same model.
+goes to the executors (2 MB). N-grams are hashed and looked up with numpy over whole pieces of a batch, so no cache of
+words is kept. Seeds are fixed and the sample is sorted, so training twice gives the same model.
 
 Null and empty texts score by the layer's bias alone. Labels that are null or other than 0 and 1 aren't learned from, nor
 are labels of documents that don't exist; where a doc_id has several labels its largest counts, and of several texts
 each. A null doc_id can't be labelled and is scored; it counts as not held out. Without any labels the score is 0.5.
+Columns of ``docs`` other than doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from operator import eq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.llm.common import utf8
+from ctxlake.llm import words as W
+from ctxlake.llm.common import fresh
 
-TABLE_BITS, DIM, EPOCHS, LEAST_STEPS, RATE, BATCH, SEED = 18, 8, 6, 400, 4.0, 64, 11
+TABLE_BITS, DIM, EPOCHS, LEAST_STEPS, RATE, BATCH, SEED = 19, 8, 6, 400, 4.0, 64, 11
 MOST_ROWS, MOST_CHARS, FOLDS, THRESHOLD = 5000, 24_000_000, 5, 0.3
-
-
-#: Words up to SHORT bytes are hashed one by one, longer ones with numpy, from PIECE places at a time; only short ones are
-#: held in the scorer's cache.
-SHORT, PIECE = 60, 1 << 18
-
-
-def features(word: bytes) -> list[int]:
-    """Table rows of a word and its character n-grams (over bytes, with marks at both ends)."""
-    marked = b"<" + word + b">"
-    rows = [zlib.crc32(b"w" + word)]
-    rows += [zlib.crc32(marked[i : i + n]) for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [r & ((1 << TABLE_BITS) - 1) for r in rows]
-
-
-def _crc_table() -> np.ndarray:
-    c = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
-    return c
-
-
-_CRC = _crc_table()
-
-
-def long_features(word: bytes) -> Iterator[np.ndarray]:
-    """The rows of features(), in another order and piece by piece, so that a word may be as long as a text."""
-    mask = np.uint32((1 << TABLE_BITS) - 1)
-    yield np.array([zlib.crc32(word, zlib.crc32(b"w"))], np.uint32) & mask
-    marked = np.frombuffer(b"<" + word + b">", np.uint8)
-    for at in range(0, len(marked), PIECE):
-        part = marked[at : at + PIECE + 3]
-        c = np.full(min(PIECE, len(part)), 0xFFFFFFFF, np.uint32)
-        for k in range(4):
-            m = min(PIECE, len(part) - k)
-            if m <= 0:
-                break
-            c = _CRC[(c[:m] ^ part[k : k + m]) & 255] ^ (c[:m] >> 8)
-            if k:
-                yield ~c & mask
-
-
-def profile(word: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Table rows of a word, how often it has each, and how many that is together."""
-    if len(word) <= SHORT:
-        rows = np.array(features(word), np.int32)
-        return rows, np.ones(len(rows), np.float32), len(rows)
-    each = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for rows in long_features(word):
-        r, back = np.unique(np.concatenate([each[0], rows]), return_inverse=True)
-        each = r, np.bincount(back, np.concatenate([each[1], np.ones(len(rows), np.int64)]))
-    return each[0].astype(np.int32), each[1].astype(np.float32), int(each[1].sum())
-
-
-REPEAT = b"\x00again"
-
-
-def tokens(text: str | None) -> tuple[list[bytes], int]:
-    """The words, and how many equal the word before."""
-    words = utf8(text).split()
-    return words, sum(map(eq, words, words[1:]))
-
-
-def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
+#: The word 2-gram that stands for any word and itself.
+ITSELF = np.uint64(0x5851F42D4C957F2D)
+_ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
+
+
+def marked(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one mark before each and one at the end, and where the marks are."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(at[-1]) + 1, 32, np.uint8)
+    chars = np.ones(len(out), bool)
+    chars[at] = False
+    out[chars] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    return out, at
+
+
+def grams(text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of the 2-, 3- and 4-grams that begin at each place of marked words, and which lie in one word."""
+    mark = text == 32
+    x, ok = text.astype(np.uint32), np.ones(len(text), bool)
+    for n in (2, 3, 4):
+        m = len(text) - n + 1
+        if m <= 0:
+            return
+        x = x[:m] | (text[n - 1 :].astype(np.uint32) << np.uint32(8 * (n - 1)))
+        if n > 2:
+            ok = ok[:m] & ~mark[n - 2 : n - 2 + m]
+        h = (x ^ (x >> np.uint32(15))) * _ODD[n - 1]
+        yield (h ^ (h >> np.uint32(13))) * _ODD[0] >> np.uint32(32 - TABLE_BITS), ok[:m]
+
+
+def rows_of(hashes: np.ndarray) -> np.ndarray:
+    return (W.scramble(hashes) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def doubled(h: np.ndarray, n_words: np.ndarray, before: np.uint64 | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word 2-grams that lie in one text and the text of each; before: the word before the first."""
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    if before is not None:
+        h, text = np.concatenate([[before], h]), np.concatenate([[0], text])
+    same = text[1:] == text[:-1]
+    both = (h[:-1] * np.uint64(0x9FB21C651E98DF25) + (h[1:] ^ (h[1:] >> np.uint64(32))))[same]
+    again, text = (h[1:] == h[:-1])[same], text[1:][same]
+    return np.concatenate([both, np.full(int(again.sum()), ITSELF)]), np.concatenate([text, text[again]])
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By pieces: first row, marked words, their marks, words' hashes and text, word 2-grams and their text."""
+    data, offsets = W.raw(texts)
+    last: tuple[int, np.uint64] | None = None
+    for row, part, at in W.in_pieces(data, offsets):
+        starts, ends, n = W.cut(part, at)
+        if not len(starts):
+            continue
+        h = W.hashes(part, starts, ends)
+        two, two_text = doubled(h, n, last[1] if last and last[0] == row else None)
+        if len(n) == 1:
+            last = (row, h[-1])
+        yield row, *marked(part, starts, ends), h, np.repeat(np.arange(len(n)), n), two, two_text
+
+
+def scores(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The chance of label 1 of each text."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for row, text, at, h, of, two, two_of in _parts(texts):
+        each = np.zeros(len(text), np.float32)
+        for rows, ok in grams(text):
+            each[: len(rows)] += np.where(ok, weights[rows], np.float32(0))
+        size = np.diff(at) - 1
+        word = (np.add.reduceat(each[:-1].astype(np.float64), at[:-1]) + weights[rows_of(h)]) / (3 * size + 1)
+        many = int(of[-1]) + 1
+        here = slice(row, row + many)
+        total[here] += np.bincount(of, word, many) + np.bincount(two_of, weights[rows_of(two)], many)
+        n[here] += np.bincount(of, minlength=many) + np.bincount(two_of, minlength=many)
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -30, 30)))
+
+
+def profile(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text as distinct table rows and their weights, which add up to 1."""
+    keys, weights, n = [], [], 0
+    for _, marks, at, h, of, two, _ in _parts(pa.array([text], pa.string())):
+        share = 1 / (3 * (np.diff(at) - 1) + 1)
+        owner = np.repeat(np.arange(len(h)), np.diff(at))
+        for rows, ok in grams(marks):
+            ok[len(owner) :] = False
+            keys.append(rows[ok])
+            weights.append(share[owner[: len(rows)][ok[: len(owner)]]])
+        keys += [rows_of(h), rows_of(two)]
+        weights += [share, np.ones(len(two))]
+        n += len(h) + len(two)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    key, weight = np.concatenate(keys).astype(np.int64), np.concatenate(weights)
+    if len(key) < 1 << 15:
+        rows, back = np.unique(key, return_inverse=True)
+        full = np.bincount(back, weight)
+    else:
+        full = np.bincount(key, weight, 1 << TABLE_BITS)
+        rows = np.flatnonzero(full)
+        full = full[rows]
+    return rows.astype(np.int32), (full / n).astype(np.float32)
+
+
+def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
     """(difference of the classes' softmax inputs per table row, bias)."""
     rng = np.random.default_rng(SEED)
     size = 1 << TABLE_BITS
-    docs = []
-    known: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
-    for text in texts:
-        words, again = tokens(text)
-        n_each: dict[bytes, int] = {}
-        for w in words:
-            n_each[w] = n_each.get(w, 0) + 1
-        if again:
-            n_each[REPEAT] = again
-        rows, weights = [], []
-        total = len(words) + again
-        for w, n in n_each.items():
-            if w not in known:
-                known[w] = profile(w)
-            own, times, size_w = known[w]
-            rows.append(own)
-            weights.append(times * np.float32(n / total / size_w))
-        if rows:
-            r, back = np.unique(np.concatenate(rows), return_inverse=True)
-            docs.append((r.astype(np.int32), np.bincount(back, np.concatenate(weights)).astype(np.float32)))
-        else:
-            docs.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+    docs = [profile(t) for t in texts]
     y = np.array(labels, np.float32)
     rate1 = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (DIM, size)).astype(np.float32)
     layer = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.array([np.log(1 - rate1), np.log(rate1)], np.float32)
+    places = np.zeros(size, np.int32)
     per_epoch = max(1, -(-len(docs) // BATCH))
     epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch)) if docs else 0
     total_steps, step = epochs * per_epoch, 0
@@ -133,14 +156,10 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
             part = order[at : at + BATCH]
             rate = RATE * (1 - step / total_steps)
             step += 1
-            lengths = np.array([len(docs[i][0]) for i in part])
             rows = np.concatenate([docs[i][0] for i in part])
             weights = np.concatenate([docs[i][1] for i in part])
-            doc = np.repeat(np.arange(len(part)), lengths)
-            means = np.zeros((len(part), DIM), np.float32)
-            taken = vectors[rows] * weights[:, None]
-            for d in range(DIM):
-                means[:, d] = np.bincount(doc, taken[:, d], len(part))
+            doc = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
+            means = np.stack([np.bincount(doc, v[rows] * weights, len(part)) for v in vectors], 1).astype(np.float32)
             z = means @ layer + bias
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
@@ -150,8 +169,12 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
             layer -= 0.1 * rate / len(part) * (means.T @ p)
             bias -= 0.02 * rate * p.mean(axis=0)
             # Words spread a text's weight thin, so vectors take the step per document, not per batch mean.
-            np.subtract.at(vectors, rows, (rate * weights)[:, None] * back[doc])
-    return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+            own = np.flatnonzero(np.bincount(rows, minlength=size))
+            places[own] = np.arange(len(own))
+            where = places[rows]
+            for d in range(DIM):
+                vectors[d, own] -= (rate * np.bincount(where, weights * back[doc, d], len(own))).astype(np.float32)
+    return ((layer[:, 1] - layer[:, 0]) @ vectors).astype(np.float32), float(bias[1] - bias[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out: int = 0, folds: int = FOLDS) -> tuple[np.ndarray, float]:
@@ -160,88 +183,46 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out
     truth = truth.groupBy("doc_id").agg(F.max("y").alias("y")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out)
     chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The chosen ids are MOST_ROWS at most, so they may be broadcast.
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", F.xxhash64("doc_id").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    few = sample.orderBy("h", "doc_id", "text").limit(2 * MOST_ROWS)
-    upto = F.sum("n").over(Window.orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    got = few.withColumn("upto", upto).where(F.col("upto") <= MOST_CHARS).select("h", "doc_id", "text", "y").collect()
-    got.sort(key=lambda r: (r.h, r.doc_id, r.text or ""))
-    return train([r.text for r in got], [r.y for r in got])
-
-
-class Scorer:
-    """Scores of texts; each distinct word is hashed once while the cache holds it."""
-
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.cache = weights, bias, {}
-
-    def _word(self, word: bytes) -> float:
-        if len(self.cache) > 600_000:
-            self.cache.clear()
-        if len(word) > SHORT:
-            total, n = 0.0, 0
-            for rows in long_features(word):
-                total += float(self.weights[rows].sum(dtype=np.float64))
-                n += len(rows)
-            return total / n
-        v = self.cache[word] = float(self.weights[features(word)].mean())
-        return v
-
-    def score(self, text: str | None) -> float:
-        words, again = tokens(text)
-        get, total = self.cache.get, 0.0
-        if words:
-            values = list(map(get, words))
-            if None in values:
-                values = [self._word(w) if v is None else v for w, v in zip(words, values)]
-            total = sum(values)
-            if again:
-                v = get(REPEAT)
-                total += again * (self._word(REPEAT) if v is None else v)
-            total /= len(words) + again
-        return float(1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30))))
-
-
-@lru_cache(maxsize=2)
-def _scorer(raw: bytes, bias: float) -> Scorer:
-    return Scorer(np.frombuffer(raw, np.float32), bias)
-
-
-def _scores(batches: Iterable[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
-    scorer = _scorer(*model.value)
-    for batch in batches:
-        scores = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "__score"])
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with all its columns and __score, the chance of label 1."""
-    sent = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))
-    at = docs.columns.index("text")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda it: _scores(it, sent, at), f"{kind}, `__score` double")
+    # Only lengths and digests of candidate texts meet in one place; the chosen ids are MOST_ROWS at most, so they may be
+    # broadcast, and of equal texts of an id one counts.
+    own = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("digest"), F.xxhash64("doc_id").alias("h"))
+    listed = own.distinct().orderBy("h", "doc_id", "digest").limit(2 * MOST_ROWS).collect()
+    taken, left = [], MOST_CHARS
+    for r in sorted(listed, key=lambda r: (r.h, r.doc_id, r.digest)):
+        if r.n <= left:
+            taken.append((r.doc_id, r.digest, r.y))
+            left -= r.n
+    if not taken:
+        return train([], [])
+    picks = docs.sparkSession.createDataFrame(taken, "doc_id long, digest long, y int")
+    found = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(picks), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.any_value("text").alias("text"), F.any_value("y").alias("y")).collect()
+    place = {(i, d): k for k, (i, d, _) in enumerate(taken)}
+    found.sort(key=lambda r: place[r.doc_id, r.digest])
+    return train([r.text for r in found], [r.y for r in found])
+
+
+def score(text: Column, model: tuple[np.ndarray, float], spark) -> Column:
+    """The chance of label 1 of a text column. Only texts go to Python and only scores come back."""
+    sent = spark.sparkContext.broadcast((model[0], model[1]))
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fresh("quality")
+        for texts in batches:
+            yield pa.array(scores(texts, *sent.value), pa.float64())
+
+    return scored(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     model = fit(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    # Texts stay out of what comes back from Python.
-    scored = _only_ids(rows, model)
-    return scored.select("doc_id", held.alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def _only_ids(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _scores(batches, sent, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["doc_id", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, score double")
+    doc_id = F.col("doc_id").cast("long")
+    held = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+    rows = docs.select(doc_id.alias("doc_id"), held.alias("held_out"), score(F.col("text").cast("string"), model, docs.sparkSession).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with all its columns, without the rows that the classifier rejects."""
-    return score(docs, fit(docs, labels)).where(F.col("__score") >= threshold).drop("__score")
+    return docs.where(score(F.col("text").cast("string"), fit(docs, labels), docs.sparkSession) >= threshold)
