@@ -11,7 +11,7 @@
    triangle inequality rules out, by their distances from the first leader, aren't formed. A round's rows grow in
    proportion to the groups, no matter how large they are; no group is gathered and none expands to all pairs.
 5. Pairs pass a collision-corrected estimate from the registers (five standard deviations of slack) and are then
-   confirmed on full sets, which only documents that share a band have made again from their texts.
+   confirmed on full sets of 64-bit hashes, made again from the texts of the two.
 6. Components come from min-label propagation with pointer jumping over written tables, never on the driver.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing. Texts of fewer words than
@@ -30,109 +30,66 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxlake.llm.common import LOWER, staged, unstage, utf8
+from ctxlake.llm.columns import unused
+from ctxlake.llm.common import fresh, slices, staged, unstage
+from ctxlake.llm.words import by_bytes, scramble, shingles
 
 BUCKETS, MANTISSA, ROWS, BANDS, LEADERS, SIGMAS = 256, 10, 6, 42, 64, 5.0
 WORDS, PERCENT = 5, 80
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _rng = np.random.default_rng(20240607)
 _PROBES = np.stack([_rng.permutation(BUCKETS) for _ in range(BUCKETS)])
 _ODD = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets all when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's k-word shingles; A-Z lower-cased, words end at ASCII white space."""
-    ws = utf8(text).translate(LOWER).split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
-    n = max(1, len(ws) - k + 1)
-    mixed = np.full(n, len(ws) if len(ws) < k else k, np.uint64)
-    for j in range(min(k, len(ws))):
-        mixed = (mixed ^ h[j : j + n]) * _STEPS[j % 8] + _MIX
-        mixed ^= mixed >> np.uint64(31)
-    return np.unique(_scramble(mixed))
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """256 registers of 16 bits from a sorted set of hashes, at least one."""
-    bucket = (hashes >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 256 registers of 16 bits for each sorted set of hashes; no set may be empty."""
+    n = len(sets)
+    hashes = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    at = np.repeat(np.arange(n) * BUCKETS, [len(s) for s in sets]) + (hashes >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
     rest = hashes[first] << np.uint64(8)
     # frexp of the upper half finds the leading one; a rest below 2**32 is as good as never seen
-    zeros = 64 - np.frexp(rest.astype(np.float64))[1]
-    zeros = np.minimum(zeros, 62)
+    zeros = np.minimum(64 - np.frexp(rest.astype(np.float64))[1], 62)
     mantissa = (rest << zeros.astype(np.uint64) << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    registers = np.zeros(BUCKETS, np.uint16)
-    filled = np.zeros(BUCKETS, bool)
-    registers[bucket[first]] = (zeros.astype(np.uint64) << np.uint64(MANTISSA)) | mantissa
-    filled[bucket[first]] = True
-    if len(first) < BUCKETS:
-        empty = np.flatnonzero(~filled)
-        # The first filled bucket in the register's own probe order; the donor number makes it a value of its own.
-        donor = _PROBES[empty, np.argmax(filled[_PROBES[empty]], axis=1)]
-        registers[empty] = registers[donor] ^ (donor * 257).astype(np.uint16)
-    return registers
+    registers, filled = np.zeros(n * BUCKETS, np.uint16), np.zeros(n * BUCKETS, bool)
+    registers[at[first]] = (zeros.astype(np.uint64) << np.uint64(MANTISSA)) | mantissa
+    filled[at[first]] = True
+    # An empty register borrows from the first filled bucket in its own probe order; the donor number makes it a value
+    # of its own.
+    empty, probe = np.flatnonzero(~filled), 0
+    while len(empty):
+        donor = _PROBES[empty % BUCKETS, probe]
+        found = filled[empty - empty % BUCKETS + donor]
+        own, donor = empty[found], donor[found]
+        registers[own] = registers[own - own % BUCKETS + donor] ^ (donor * 257).astype(np.uint16)
+        empty, probe = empty[~found], probe + 1
+    return registers.reshape(n, BUCKETS)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    mixed = (registers[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _ODD
-    return _scramble(np.bitwise_xor.reduce(_scramble(mixed), axis=1) + np.arange(BANDS, dtype=np.uint64) * _MIX).view(np.int64)
+    """A row of 64-bit keys for each row of registers."""
+    mixed = (registers[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _ODD
+    return scramble(np.bitwise_xor.reduce(scramble(mixed), axis=2) + np.arange(BANDS, dtype=np.uint64) * _MIX).view(np.int64)
 
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _signed(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    fresh("neardup")
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-            s = shingles(text, k)
-            if not len(s) or doc_id is None:
-                rows.append((doc_id, len(s), None, None, None))
-                continue
-            registers = sketch(s)
-            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers.tobytes(), band_keys(registers)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SIGNED)], schema=SIGNED)
-
-
-def _narrow(hashes: np.ndarray) -> bytes:
-    """A set's hashes in 6 bytes each: enough to count what two sets share."""
-    return np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = (c.to_pylist() for c in batch.columns)
-        for i in range(0, len(ids), 500):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500], pa.int64()), pa.array([_narrow(shingles(t, k)) for t in texts[i : i + 500]], pa.binary())], ["id", "hashes"])
+        for a, b in by_bytes(batch.column(1)):
+            ids = batch.column(0).slice(a, b - a)
+            sets = shingles(batch.column(1).slice(a, b - a), k)
+            sizes = [len(s) for s in sets]
+            own = [i for i, (n, known) in enumerate(zip(sizes, ids.is_valid().to_pylist())) if n and known]
+            sig, sketch, bands = ([None] * len(sets) for _ in range(3))
+            for x, y in slices(len(own), 1000):
+                registers = sketches([sets[i] for i in own[x:y]])
+                for i, r, keys in zip(own[x:y], registers, band_keys(registers)):
+                    sig[i], sketch[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), r.tobytes(), keys
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=SIGNED)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -144,6 +101,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def _near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each pair the greatest similarity that its estimate leaves possible, or less where the sizes allow less."""
+    fresh("neardup")
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -157,21 +115,24 @@ def _near(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([a, b, pa.array(most, pa.float64())], ["a", "b", "most"])
 
 
-def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with the sizes of their full sets' intersection and union."""
+def _compared(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, text_a, text_b) with the sizes of their full sets' intersection and union."""
+    fresh("neardup")
+    last, x = None, None
     for batch in batches:
-        a, b, s_a, s_b = (batch.column(i).to_pylist() for i in range(4))
-        shared, union = [], []
-        last, x = None, None
-        for p, q in zip(s_a, s_b):
-            if p is not last:
-                last, x = p, _wide(p)
-            y = _wide(q)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
-            union.append(len(both) - shared[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "both"])
+        firsts = batch.column(2)
+        for p, q in by_bytes(batch.column(3)):
+            shared, union = [], []
+            # Rows come in the order of a, so that each of its texts is taken apart once.
+            for i, y in zip(range(p, q), shingles(batch.column(3).slice(p, q - p), k)):
+                own = firsts[i].as_py()
+                if own != last:
+                    last, x = own, shingles(pa.array([own], pa.string()), k)[0]
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                union.append(len(both) - shared[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(p, q - p), batch.column(1).slice(p, q - p), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "both"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +169,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shared = exploded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
     members = staged(exploded.join(shared, "key").select("key", "id", "leader").distinct(), "members")
     candidates = members.select("id").distinct()
-    needed = staged(rows.join(candidates, rows.doc_id == candidates.id, "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, words), "id long, hashes binary").distinct(), "sets")
+    # Only documents that share a band have their texts written once more, for the confirmation.
+    needed = staged(rows.join(candidates, rows.doc_id == candidates.id, "left_semi").groupBy("doc_id", F.xxhash64("text"), F.octet_length("text")).agg(F.any_value("text").alias("text")).selectExpr("doc_id id", "text"), "texts")
     sizes = staged(heads.join(candidates, "id", "left_semi").select("id", "n_shingles", "sketch"), "sketches")
     unstage(heads)
 
@@ -219,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         met = staged(met.mapInArrow(lambda it: _near(it, percent), "a long, b long, most double").groupBy("a", "b").agg(F.max("most").alias("most")), "met")
         near = F.col("most") >= percent / 100 - 1e-9
         a, b = (needed.toDF(side, f"h_{side}") for side in "ab")
-        full = met.where(near).join(b, "b").join(a, "a").select("a", "b", "h_a", "h_b").mapInArrow(_compared, "a long, b long, shared long, both long")
+        full = met.where(near).join(b, "b").join(a, "a").select("a", "b", "h_a", "h_b").mapInArrow(lambda it: _compared(it, words), "a long, b long, shared long, both long")
         # A doc_id with several texts is as near as the nearest of them, but its distances prove nothing.
         exact = full.groupBy("a", "b").agg(F.max(100 * F.col("shared") >= percent * F.col("both")).alias("linked"), F.min(1 - F.col("shared") / F.col("both")).alias("least"), F.max(1 - F.col("shared") / F.col("both")).alias("most"))
         far = met.where(~near).select("a", "b", F.lit(False).alias("linked"), (1 - F.col("most")).alias("least"), F.lit(1.0).alias("most"))
@@ -261,8 +223,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def drop_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with all its columns and one document of each group: that with the smallest doc_id. Repeated rows of it
-    stay one row; rows with a null doc_id stay."""
+    """``docs`` with all its columns and one document of each group: that with the smallest doc_id. Rows of one doc_id are
+    one document, of which one row stays: that of the smallest digest of its text, then of its other columns. Rows with a
+    null doc_id stay."""
     kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    inside = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return inside.unionByName(docs.where("doc_id is null"))
+    own, turn = unused(docs, "kept"), unused(docs, "turn")
+    inside = docs.join(kept.withColumnRenamed("doc_id", own), F.col("doc_id").cast("long") == F.col(own), "left_semi")
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", rest))
+    return inside.withColumn(turn, first).where(F.col(turn) == 1).drop(turn).unionByName(docs.where("doc_id is null"))
