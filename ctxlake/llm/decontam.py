@@ -10,8 +10,8 @@ position. Spans of words are merged per document.
 Suffixes are sorted in full by prefix doubling of which each round only sorts what is still tied, so that walks through
 the index are exact also where thousands of copies lie in one shard.
 
-The test set goes to the tasks in blocks of at most BLOCK_BYTES of text, so that no broadcast grows with it; documents
-are indexed once per block and the blocks' spans are merged. Nothing else is shuffled.
+The test set goes to the tasks in blocks of at most BLOCK_BYTES of text, one after the other, so that neither a broadcast
+nor the driver's share grows with it; documents are indexed once per block and the blocks' spans are merged. Nothing else is shuffled.
 
 Null texts have no words; an item without words has no phrase and is never found. Repeated documents are judged each on
 its own, repeated item_ids count once. Null item_ids are left out, a null doc_id stays null. Other columns aren't read.
@@ -21,13 +21,16 @@ An empty test set leaves all documents clean; an empty documents table gives an
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.llm.common import staged, utf8
+from ctxlake.llm.columns import unused
+from ctxlake.llm.common import fresh, staged, utf8
+from ctxlake.llm.words import by_bytes
 
 #: 0-9, a-z and all bytes of non-ASCII characters stay, A-Z become a-z, everything else parts words.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -195,6 +198,7 @@ FOUND_SQL = "row long, doc_id long, n_words long, spans array<struct<start: long
 
 
 def _scan(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str | None]], window: int) -> Iterator[pa.RecordBatch]:
+    fresh("decontam")
     phrases = Phrases(items, window)
     number = phrases.vocabulary.get
     held: list[tuple] = []
@@ -238,14 +242,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """Per document of ``docs`` (doc_id, text): n_words, spans (merged ranges of word numbers that lie in an occurrence
     of a phrase of the test set) and items (ids of the items with such phrases). ``row`` numbers the rows."""
     rows = docs.selectExpr("monotonically_increasing_id() row", "cast(doc_id as long) doc_id", "cast(text as string) text")
-    blocks = list(_blocks(benchmark))
-    if len(blocks) <= 1:
-        items = blocks[0] if blocks else []
+    blocks = _blocks(benchmark)
+    items, second = next(blocks, []), next(blocks, None)
+    if second is None:
         return rows.mapInArrow(lambda it: _scan(it, items, window), FOUND_SQL)
+    return _over_blocks(rows, chain([items, second], blocks), window)
+
+
+def _over_blocks(rows: DataFrame, blocks: Iterable[list[tuple[int, str | None]]], window: int) -> DataFrame:
+    """find_overlaps() one block after the other, each written before the next is read, so that the driver and the tasks
+    hold one at a time."""
     kept = staged(rows, "decontam")  # row numbers must be the same in each pass
     found = None
     for items in blocks:
-        part = kept.mapInArrow(lambda it, items=items: _scan(it, items, window), FOUND_SQL)
+        part = staged(kept.mapInArrow(lambda it, items=items: _scan(it, items, window), FOUND_SQL), "found")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return merged.withColumn("spans", F.expr(MERGE))
@@ -270,28 +280,26 @@ def judge(found: DataFrame, least_items: int = ITEMS) -> DataFrame:
     )
 
 
-def _cut(batches: Iterable[pa.RecordBatch], items: list[tuple[int, str | None]], window: int, least_items: int, at: int) -> Iterator[pa.RecordBatch]:
+JUDGED = pa.struct([("n_items", pa.int64()), ("text", pa.string())])
+
+
+def _cut(batches: Iterable[pa.Array], items: list[tuple[int, str | None]], window: int) -> Iterator[pa.Array]:
+    """Per text how many items it has, and the text without their spans, null where it stays as it is."""
+    fresh("decontam")
     phrases = Phrases(items, window)
     number = phrases.vocabulary.get
-    for batch in batches:
-        column = batch.column(at).to_pylist()
-        kept, texts = [], []
-        shard: list[np.ndarray] = []
-        total, begun, results = 0, 0, []
-        for text in column:
-            ws = words(text)
-            shard.append(np.fromiter((number(w, 0) for w in ws), np.int32, len(ws)))
-            total += len(ws)
-            if total >= SHARD_WORDS:
-                results += search_shard(shard, phrases)
-                shard, total = [], 0
-        results += search_shard(shard, phrases)
-        for i, (text, (spans, found)) in enumerate(zip(column, results)):
-            if len(found) < least_items:
-                kept.append(i)
-                texts.append(without(text, spans) if len(spans) else text)
-        out = batch.take(pa.array(kept, pa.int64()))
-        yield out.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    for texts in batches:
+        n_items, cut = [], []
+        for a, b in by_bytes(texts, 4 * SHARD_WORDS):
+            part = texts.slice(a, b - a).to_pylist()
+            shard = []
+            for text in part:
+                ws = words(text)
+                shard.append(np.fromiter((number(w, 0) for w in ws), np.int32, len(ws)))
+            for text, (spans, found) in zip(part, search_shard(shard, phrases)):
+                n_items.append(len(found))
+                cut.append(without(text, spans) if len(spans) else None)
+        yield pa.StructArray.from_arrays([pa.array(n_items, pa.int64()), pa.array(cut, pa.string())], fields=list(JUDGED))
 
 
 def _cut_spans(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -318,17 +326,28 @@ def without(text: str, spans: np.ndarray) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = ITEMS) -> DataFrame:
     """``docs`` with all its columns, without the contaminated documents (phrases of ``least_items`` items or more); the
-    merged spans of other hits are cut from the texts, and n_chars, where there is such a column, counted again."""
-    blocks = list(_blocks(benchmark))
-    if len(blocks) > 1:  # items add up and spans merge over blocks, so the texts are cut once, at the end
-        rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
-        found = find_overlaps(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
-        mild = found.where(F.size("items") < least_items).select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))
-        marked = rows.join(mild, "__row").select(*docs.columns, "__spans")
-        out = marked.mapInArrow(lambda it, at=docs.columns.index("text"): _cut_spans(it, at), docs.schema)
+    merged spans of other hits, over all blocks, are cut from the texts, and n_chars, where there is such a column, counted again."""
+    blocks, at = _blocks(benchmark), docs.columns.index("text")
+    items, second = next(blocks, []), next(blocks, None)
+    if second is not None:  # items add up and spans merge over blocks, so the texts are cut once, at the end
+        row, cut = unused(docs, "row"), unused(docs, "spans")
+        rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontam")
+        found = _over_blocks(rows.select(F.col(row).alias("row"), F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")), chain([items, second], blocks), window)
+        mild = found.where(F.size("items") < least_items).select(F.col("doc_id").alias(row), F.col("spans").alias(cut))
+        marked = rows.join(mild, row).select(*docs.columns, cut)
+        out = marked.mapInArrow(lambda it: _cut_spans(it, at), docs.schema)
+    elif items:
+
+        @F.arrow_udf("n_items long, text string")
+        def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from _cut(batches, items, window)
+
+        # Only texts go to Python and only changed ones come back; not deterministic, so that it runs once.
+        seen = unused(docs, "seen")
+        judged_docs = docs.withColumn(seen, judged.asNondeterministic()(F.col("text"))).where(F.col(seen)["n_items"] < least_items)
+        out = judged_docs.select(*(F.coalesce(F.col(seen)["text"], "text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
     else:
-        items, at = blocks[0] if blocks else [], docs.columns.index("text")
-        out = docs.mapInArrow(lambda it: _cut(it, items, window, least_items, at), docs.schema) if blocks else docs
+        out = docs
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents into fixed-length training sequences.
 
 Each task streams its documents. A document longer than a sequence is cut into whole sequences, the first piece taking
-what is left over; shorter ones stay whole. The pieces of one Arrow batch go, longest first, to bounded-space best fit:
+what is left over; shorter ones stay whole. The pieces of a few megabytes of texts go, longest first, to bounded-space best fit:
 a fixed number of open bins, held in a bitset keyed by free space, so that the tightest bin that still fits is found by
 one shift. When one bin too many is open, the fullest closes. Nothing is shuffled and no task holds more than a batch
 and its open bins, whatever the size of the corpus; a lost task is simply run again.
@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.llm.common import encoder, slices
+from ctxlake.llm.common import encoder
+from ctxlake.llm.words import by_bytes
 
 OPEN_BINS = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -74,7 +75,7 @@ def _pack(batches: Iterable[pa.RecordBatch], vocabulary: str, size: int, end: in
     enc = encoder(vocabulary)
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for a, b in slices(len(doc_ids), 5000):
+        for a, b in by_bytes(batch.column(1)):
             rows = []
             for doc_id, ids in zip(doc_ids[a:b], enc.encode(batch.column(1).slice(a, b - a), end)):
                 for k, (start, length) in enumerate(pieces(len(ids) // 4, size)):
