@@ -1,10 +1,14 @@
 """URL filters: fixed rules first, then rules that FP-growth mines from labelled URLs; DataFrame operations only.
 
-A URL's tokens are its host and the host's suffixes, its path's folders without numbers, the file ending and the names
-and pairs of its query. FP-growth runs over the token sets of all labelled URLs with the label as one more token, and
-its rules towards "block" count where their support and confidence suffice and no shorter rule of part of their tokens
-is at least as confident. The rules are matched through an inverted index: tokens join rules on the token, and a rule
-matches where as many tokens met it as it has. The index is broadcast only where it is counted and small.
+A URL's tokens are its host and the domains above it, its path's folders without numbers, the file ending and the names
+and pairs of its query. The first number in its path names the document that it serves, as in these crawls, whose label
+is the URL's. FP-growth runs over the frequent tokens of all labelled URLs with the label as one more token; of tokens
+that the very same URLs have, one stands for all, as their combinations would tell nothing more and double with each.
+Rules towards "block" count where they are confident beyond the share of bad URLs: by MIN_LIFT times it (or half way from
+it to 1, if that is less) and by SIGMAS standard errors, and where no shorter rule of part of their tokens is at least as
+confident. The rules are matched through an inverted index: tokens join rules on the token, and a rule
+matches where as many tokens met it as it has. The index and the matches are broadcast only where they are counted and
+small.
 
 Fixed rules name a host and the beginning of a path; a rule fits its host and all subdomains, and the longest that fits
 decides. URLs that no fixed rule fits are blocked by any mined rule that matches and else allowed.
@@ -21,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxlake.llm.columns import literal
-from ctxlake.llm.common import staged
+from ctxlake.llm.common import small_side, staged
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, BLOCK, SMALL_INDEX = 0.002, 8, 0.6, "label=block", 50_000
+MIN_SUPPORT, MIN_COUNT, MIN_LIFT, SIGMAS, BLOCK = 0.002, 8, 2.0, 3.0, "label=block"
 
 
 def parts(url: str = "url") -> tuple[str, str]:
@@ -68,16 +72,28 @@ def parse(pages: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.expr(f"if(host = '', cast(array() as array<string>), {tokens()})")).withColumn("target", F.expr(target))
 
 
-def mine(parsed: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Mined rules (tokens, confidence, support, rule) towards blocking, from all labelled URLs of parse(). A rule needs
-    MIN_COUNT URLs at least, which guards small tables where ``min_support`` is less than that."""
+def mine(parsed: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
+    """Mined rules (tokens, confidence, support, rule) towards blocking, from all labelled URLs of parse() with ``row``. A
+    rule needs MIN_COUNT URLs at least, which guards small tables where ``min_support`` is less than that."""
+    spark = parsed.sparkSession
     truth = labels.selectExpr("cast(doc_id as long) target", "toxic = 1 or quality = 0 bad").where("target is not null and bad is not null").groupBy("target").agg(F.max("bad").alias("bad"))
-    baskets = parsed.join(truth, "target").select(F.expr(f"if(bad, concat(tokens, array('{BLOCK}')), tokens)").alias("items")).where("size(items) > 0")
-    n = baskets.count()
-    if n < MIN_COUNT:
-        return parsed.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, rule string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / n)), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    labelled = staged(parsed.where("size(tokens) > 0").join(truth, "target").select("row", "bad", "tokens"), "labelled")
+    n, n_bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
+    if n < MIN_COUNT or not n_bad:
+        return spark.createDataFrame([], "tokens array<string>, confidence double, support double, rule string")
+    share, base = min(1.0, max(min_support, MIN_COUNT / n)), n_bad / n
+    confidence = min(min_lift * base, (1 + base) / 2)
+    each = labelled.select("row", F.explode("tokens").alias("token"))
+    # Tokens of a share of min_support of the URLs: as many as a URL's tokens over that share, at most.
+    often = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where(F.col("n") >= share * n)
+    stands = staged(often.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "tokens")
+    kept = each.join(small_side(stands), "token").groupBy("row").agg(F.collect_list("token").alias("own"))
+    baskets = staged(labelled.select("row", "bad").join(kept, "row").select(F.expr(f"if(bad, concat(own, array('{BLOCK}')), own)").alias("items")), "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
+    # FPGrowth's supports are shares of the baskets, which are fewer than n where a URL has no frequent token.
+    n_baskets = baskets.count()
+    error = F.sqrt(F.col("confidence") * (1 - F.col("confidence")) * F.col("confidence") / (F.col("support") * n_baskets))
+    rules = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("confidence") - SIGMAS * error > base)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     named = rules.withColumn("rule", F.array_join("tokens", " "))
     # A rule goes if part of its tokens makes a rule that is as confident: found through the tokens, not by pairs.
     each = named.select("rule", F.size("tokens").alias("n"), "confidence", F.explode("tokens").alias("token"))
@@ -87,22 +103,21 @@ def mine(parsed: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
 
 
 def match(parsed: DataFrame, rules: DataFrame) -> DataFrame:
-    """page rows (``row``) that a mined rule matches, with the most confident one."""
-    index = rules.select("rule", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    n_index = index.limit(SMALL_INDEX + 1).count()
-    hits = parsed.select("row", F.explode("tokens").alias("token")).join(F.broadcast(index) if n_index <= SMALL_INDEX else index, "token")
+    """page rows (``row``) that a mined rule matches, with the most confident one and of those the greatest by name."""
+    index = staged(rules.select("rule", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "index")
+    hits = parsed.select("row", F.explode("tokens").alias("token")).join(small_side(index), "token")
     met = hits.groupBy("row", "rule").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("confidence").alias("confidence")).where("met = n")
     return met.groupBy("row").agg(F.max(F.struct("confidence", "rule")).alias("m")).select("row", F.col("m.rule").alias("mined"), F.col("m.confidence").alias("confidence"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): host, path, the fixed rule or null, the verdict, and the mined rule
     that matches, if any, with its confidence."""
     parsed = staged(parse(pages).withColumn("row", F.monotonically_increasing_id()), "urls")
-    mined = staged(mine(parsed, labels, min_support, min_confidence), "rules")
+    mined = staged(mine(parsed, labels, min_support, min_lift), "rules")
     # Many pages have the same tokens: each set is matched once.
     sets = parsed.where("size(tokens) > 0").select(F.array_sort("tokens").alias("tokens")).distinct().select(F.array_join("tokens", " ").alias("row"), "tokens")
-    matched = match(sets, mined)
+    matched = small_side(staged(match(sets, mined).withColumnRenamed("row", "key"), "matched"))
     rule, verdict = fixed_rule(RULES if rules is None else rules)
-    out = parsed.withColumn("key", F.array_join(F.array_sort("tokens"), " ")).join(matched.withColumnRenamed("row", "key"), "key", "left")
+    out = parsed.withColumn("key", F.array_join(F.array_sort("tokens"), " ")).join(matched, "key", "left")
     return out.select("page_id", "host", "path", F.expr(rule).alias("rule"), F.coalesce(F.expr(verdict), F.when(F.col("mined").isNotNull(), "block"), F.lit("allow")).alias("verdict"), F.col("mined").alias("mined_rule"), "confidence")
