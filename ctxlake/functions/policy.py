@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 # --- URLs ------------------------------------------------------------------------------------------------------------
 
@@ -79,7 +80,7 @@ def v6_reason(ip: str) -> tuple[bool, str | None]:
     return True, None
 
 
-@F.arrow_udf("struct<valid: boolean, reason: string>")
+@F.arrow_udf(StructType().add("valid", BooleanType()).add("reason", StringType()))
 def _v6(ips: pa.Array) -> pa.Array:
     got = [v6_reason(x) if x else (False, None) for x in ips.to_pylist()]
     return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.string())], ["valid", "reason"])
@@ -128,7 +129,7 @@ def _character(m: re.Match) -> str:
     return chr(n) if 0 < n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else ""
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _numeric(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else re.sub("&#(?:x([0-9a-fA-F]+)|([0-9]+));", _character, t) for t in texts.to_pylist()], pa.string())
 

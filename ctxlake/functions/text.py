@@ -105,12 +105,10 @@ def one_line(text: Column, most: int = 240) -> Column:
 
 
 def lines_of_code(text: Column) -> Column:
-    """Lines of the fenced blocks, or of the whole text if it has none, that are neither blank nor comments; block
-    comments don't count."""
-    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
-    code = F.when(F.size(fenced) > 0, F.array_join(fenced, "\n")).otherwise(text)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", ""), r'(?s)""".*?"""', ""), r"(?s)<!--.*?-->", "")
-    return F.size(F.filter(F.split(bare, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike("^(//|#)"))).cast("long")
+    """Lines of the fenced blocks, or of the whole text if it has none, that are neither blank nor comments."""
+    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```[a-zA-Z0-9_+-]*\r?\n(.*?)```"), F.lit(1))
+    code = F.regexp_replace(F.when(F.size(fenced) > 0, F.array_join(fenced, "\n")).otherwise(text), r"(?s)/\*.*?\*/", "")
+    return F.size(F.filter(F.split(code, "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*(//|#|/\*|\*)"))).cast("long")
 
 
 def ansi_stripped(text: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ctxlake.functions import text as T
 from ctxlake.functions.porter import stem
@@ -89,7 +90,7 @@ def migrated(docs: DataFrame) -> DataFrame:
 # --- views -----------------------------------------------------------------------------------------------------------
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _stems(texts: pa.Array) -> pa.Array:
     """Stems of a text's words, each between bars."""
     return pa.array(["" if t is None else "".join(f"|{stem(w)}|" for w in re.findall(r"[^\W_]+", t.lower())) for t in texts.to_pylist()], pa.string())
