@@ -66,7 +66,7 @@ def errors(payload: Column) -> Column:
     flag = F.when(flagged, F.array(one_line(F.when(text != "", text).otherwise("tool reported is_error")))).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.slice(F.split(text, "\n"), 1, 40), lambda x: x.rlike(r"(?i)\b(error|exception|failed|fatal|traceback)\b") & ~x.rlike("(?i)0 error"))
     # A hit is taken before the count is looked at, so a flagged call has up to two lines more, others three.
-    some = F.transform(F.slice(lines, 1, F.when(flagged, 2).otherwise(3)), one_line)
+    some = F.transform(F.slice(lines, 1, F.when(flagged, 2).otherwise(3)), lambda x: one_line(x))
     code = F.get_json_object(payload, "$.exit_code").try_cast("int")
     exit_ = F.when((text != "") & (code != 0), F.array(one_line(F.concat(F.lit("exit "), code, F.lit(": "), F.substring(text, 1, 120))))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(flag, F.when(text != "", some).otherwise(F.array().cast("array<string>")), exit_))

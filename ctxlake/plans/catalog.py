@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxlake.functions import policy
 from ctxlake.functions import text as T
 from ctxlake.operators import graph, search
+from ctxlake.operators.store import OFFLOAD_BYTES
 from ctxlake.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +18,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable[[Query], Query]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
         return f
 
     return add
@@ -29,7 +33,7 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _CHUNKS = "select doc_id, k as idx, substr(text, k * 2000 + 1, 2000) as body from (select doc_id, text, unnest(range(greatest(1, ceil(length(text) / 2000.0))::bigint)) as k from documents)"
 _TF = "select doc_id, idx, " + ", ".join(f"len(list_filter(regexp_extract_all(lower(body), '[a-z0-9]+'), lambda t: t = '{w}')) as t{i}" for i, w in enumerate(TERMS)) + f" from ({_CHUNKS})"
 _AND = f"select doc_id::bigint as doc_id, idx::bigint as idx, (t0 + t1 + t2)::bigint as score from ({_TF}) where t0 > 0 and t1 > 0 and t2 > 0"
-_NODES = " union all ".join(f"select '{s}:' || {k} as id, {n} as name, '{kind}' as kind, '{t}' as file from {t}" for s, t, k, n, kind in (("r", "region", "r_regionkey", "r_name", "class"), ("n", "nation", "n_nationkey", "n_name", "class"), ("s", "supplier", "s_suppkey", "s_name", "function"), ("c", "customer", "c_custkey", "c_name", "function"), ("p", "part", "p_partkey", "p_name", "function")))
+_NODES = " union all ".join(f"select '{s}:' || {k} as id, {n} as name, '{kind}' as kind, '{t}' as file, {k}::bigint as key from {t}" for s, t, k, n, kind in (("r", "region", "r_regionkey", "r_name", "class"), ("n", "nation", "n_nationkey", "n_name", "class"), ("s", "supplier", "s_suppkey", "s_name", "function"), ("c", "customer", "c_custkey", "c_name", "function"), ("p", "part", "p_partkey", "p_name", "function")))
 _EDGES = "select 'n:' || n_nationkey as source, 'r:' || n_regionkey as target, 'in_region' as relation from nation union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'in_nation' from supplier union all select 'c:' || c_custkey, 'n:' || c_nationkey, 'in_nation' from customer union all select distinct 's:' || l_suppkey, 'p:' || l_partkey, 'supplies' from lineitem"
 _DEGREES = f"select n.id, count(e.id)::bigint as degree from ({_NODES}) n left join (select source as id from ({_EDGES}) union all select target from ({_EDGES})) e on n.id = e.id group by n.id"
 
@@ -63,10 +67,10 @@ def vocabulary_topn(spark: SparkSession, d: str) -> DataFrame:
     return search.vocabulary(table(spark, d, "documents"))
 
 
-@query("select case when strlen(text) <= 4096 then 'inline' else 'indexed' end as route, count(*)::bigint as n, sum(strlen(text))::bigint as bytes from documents group by 1")
+@query("select case when strlen(text) <= 102400 then 'inline' else 'indexed' end as route, count(*)::bigint as n, sum(strlen(text))::bigint as bytes from documents group by 1")
 def offload_decision(spark: SparkSession, d: str) -> DataFrame:
     size = F.octet_length("text")
-    return table(spark, d, "documents").groupBy(F.when(size <= 4096, "inline").otherwise("indexed").alias("route")).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"))
+    return table(spark, d, "documents").groupBy(F.when(size <= OFFLOAD_BYTES, "inline").otherwise("indexed").alias("route")).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes"))
 
 
 @query("select lang, count(*)::bigint as docs, sum(strlen(text))::bigint as bytes, sum(ceil(length(text) / 2000.0))::bigint as chunks, ceil(sum(strlen(text)) / 4.0)::bigint as tokens from documents group by lang")
@@ -111,7 +115,7 @@ def graph_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(*graph.from_tables(spark, d))
 
 
-@query(f"with g as ({_DEGREES}), t as (select greatest(10, ceil(avg(degree) + 2 * stddev_pop(degree)))::bigint as threshold from g) select id, degree, threshold from g, t where degree >= threshold order by degree desc, id desc limit 10")
+@query(f"with g as (select d.*, n.kind from ({_DEGREES}) d join ({_NODES}) n using (id)), t as (select greatest(10, ceil(avg(degree) + 2 * stddev_pop(degree)))::bigint as threshold from g) select id, degree, threshold from g, t where degree >= threshold and kind <> 'module' order by degree desc, id desc limit 10")
 def hub_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.hubs(*graph.from_tables(spark, d))
 
@@ -129,7 +133,7 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select source, target, relation, case when source = 'n:3' then 'out' else 'in' end as direction from ({_EDGES}) where source = 'n:3' or target = 'n:3'")
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.from_tables(spark, d)[1].where((F.col("source") == "n:3") | (F.col("target") == "n:3"))
+    edges = graph.from_tables(spark, d)[1].select("source", "target", "relation").where((F.col("source") == "n:3") | (F.col("target") == "n:3"))
     return edges.withColumn("direction", F.when(F.col("source") == "n:3", "out").otherwise("in"))
 
 
@@ -147,19 +151,32 @@ def change_detection(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "doc_id", "full").select("doc_id", change.alias("change"))
 
 
-@query("select tier, kind, count(*)::bigint as n from (select case event_type when 'error' then 'error' when 'purchase' then 'edit' when 'click' then 'tool' when 'signup' then 'decision' else 'unknown' end as kind, case when kind in ('decision', 'error') then 1 when kind = 'edit' then 2 when kind = 'tool' then 3 else 4 end::bigint as tier from events) group by all")
+_KINDS = ("error", "error"), ("purchase", "file_edit"), ("click", "exec"), ("signup", "decision")
+_KIND = " ".join(f"when '{t}' then '{k}'" for t, k in _KINDS)
+
+
+@query(f"""select case when kind in ('decision', 'error', 'rule') then 0 when kind in ('edit', 'write', 'file_write', 'file_edit', 'task') then 1
+ when kind in ('tool', 'exec', 'file_read', 'git', 'intent') then 2 when kind in ('cwd', 'env', 'skill', 'subagent', 'turn') then 3 else 4 end::bigint as tier, kind, count(*)::bigint as n
+ from (select case event_type {_KIND} else 'unheard' end as kind from events) group by all""")
 def event_tiers(spark: SparkSession, d: str) -> DataFrame:
-    names = F.create_map(*(F.lit(x) for x in ("error", "error", "purchase", "edit", "click", "tool", "signup", "decision")))
-    kind = F.coalesce(names[F.col("event_type")], F.lit("unknown"))
+    names = F.create_map(*(F.lit(x) for kv in _KINDS for x in kv))
+    kind = F.coalesce(names[F.col("event_type")], F.lit("unheard"))
     return table(spark, d, "events").select(kind.alias("kind")).groupBy(T.tier(F.col("kind")).cast("long").alias("tier"), "kind").agg(F.count("*").alias("n"))
 
 
-_CASES = " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in T.ERROR_CLASSES)
+_SAID = ["Request timed out", "deadline exceeded", "connect ECONNREFUSED", "socket hang up", "EACCES denied", "Unauthorized", "ENOENT no such file", "missing key", "404", "Unexpected token } in JSON", "invalid argument", "spawn failed", "not installed", "exit code 2", "non-zero", "Traceback", "build failed", "fine"]
+_SAYINGS = " union all ".join(f"select '{x}' as text" for x in _SAID)
 
 
-@query(f"select class, count(*)::bigint as n from (select case {_CASES} else 'other' end as class from conversations) group by class")
+@query(f"""select class, count(*)::bigint as n from (select case when regexp_matches(s, '\\btimed?[\\s-]?out\\b|timeout|deadline exceeded') then 'timeout'
+ when regexp_matches(s, 'network|ssrf|dns|econn|socket|fetch|refused|unreachable') then 'network' when regexp_matches(s, 'permission|eacces|denied|forbidden|unauthor') then 'permission'
+ when regexp_matches(s, 'not[\\s-]?found|enoent|no such|missing|404') then 'not-found' when regexp_matches(s, 'syntax|parse|unexpected token|invalid') then 'syntax'
+ when regexp_matches(s, 'runtime[\\s-]?not[\\s-]?available|not installed|spawn|enoexec') then 'runtime'
+ when regexp_matches(s, 'exit\\s*(code)?\\s*[1-9]|non-?zero|failed|traceback|exception') then 'runtime-error' else 'other' end as class
+ from (select lower(text) as s from conversations union all select lower(text) from ({_SAYINGS}))) group by class""")
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select(T.error_class(F.col("text")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    said = spark.createDataFrame([(x,) for x in _SAID], "text string")
+    return table(spark, d, "conversations").select("text").unionByName(said).select(T.error_class(F.col("text")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query("select l_returnflag as task, l_linestatus as arm, (l_linenumber % 3)::bigint as model, count(*)::bigint as n, median(l_quantity)::double as med_loc, max(l_quantity)::double as max_loc, round(avg(case when l_discount > 0.05 then 1.0::double else 0 end), 9)::double as ok_rate from lineitem group by all")
@@ -168,13 +185,25 @@ def run_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("task", "arm", "model").agg(F.count("*").alias("n"), F.median("l_quantity").alias("med_loc"), F.max("l_quantity").alias("max_loc"), F.round(F.avg(F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0)), 9).alias("ok_rate"))
 
 
-@query("select doc_id, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' and not starts_with(trim(l), '#')))::bigint as loc from documents")
+_CODE = "```py\\na = 1\\n# no\\n\\nb = 2\\n```\\ntext\\n```\\n/* x\\ny */\\n// z\\nc()\\n```"
+
+
+@query(rf"""select doc_id, len(list_filter(string_split(code, chr(10)), lambda l: regexp_matches(l, '\S') and not regexp_matches(l, '^\s*(//|#|/\*|\*)')))::bigint as loc
+ from (select doc_id, regexp_replace(case when len(f) > 0 then array_to_string(f, chr(10)) else text end, '(?s)/\*.*?\*/', '', 'g') as code
+ from (select doc_id, text, regexp_extract_all(text, '(?s)```[a-zA-Z0-9_+-]*\r?\n(.*?)```', 1) as f from (select doc_id, text from documents union all select -1, replace('{_CODE}', '\n', chr(10)))))""")
 def loc_metric(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
-    return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("loc"))
+    fixed = spark.createDataFrame([(-1, _CODE.replace("\\n", "\n"))], "doc_id long, text string")
+    return table(spark, d, "documents").select("doc_id", "text").unionByName(fixed).select("doc_id", T.lines_of_code(F.col("text")).alias("loc"))
+
+
+_URLS = ["http://a.com", "HTTPS://u:p@A.com:443/x", "http://a.com:80", "http://a.com:6379/", "ftp://a.com", "file:///etc/passwd", "nope", "http://"]
+_ODD_URLS = " union all ".join(f"select {-i - 1} as page_id, '{u}' as url" for i, u in enumerate(_URLS))
 
 
-@query("select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host, (regexp_matches(url, '^https?://') and not regexp_matches(url, '^[a-z]+://[^/?#]*:') ) as allowed from pages")
+@query(f"""select page_id, scheme, host, case when scheme = '' or (scheme in ('http', 'https') and host = '') then 'bad-url' when scheme not in ('http', 'https') then 'scheme-blocked'
+ when port not in ('', '80', '443') then 'port-blocked' else 'allowed' end as verdict from (select page_id, scheme, lower(split_part(a, ':', 1)) as host, split_part(a, ':', 2) as port from
+ (select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '') as a from (select page_id, url from pages union all {_ODD_URLS})))""")
 def url_policy(spark: SparkSession, d: str) -> DataFrame:
-    allowed = F.col("url").rlike("^https?://") & ~F.col("url").rlike("^[a-z]+://[^/?#]*:")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"), allowed.alias("allowed"))
+    odd = spark.createDataFrame([(-i - 1, u) for i, u in enumerate(_URLS)], "page_id long, url string")
+    p = policy.url_parts(F.col("url"))
+    return table(spark, d, "pages").select("page_id", "url").unionByName(odd).select("page_id", p["scheme"].alias("scheme"), p["host"].alias("host"), policy.url_verdict(F.col("url")).alias("verdict"))

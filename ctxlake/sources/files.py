@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Iterable, Iterator
+from urllib.parse import urlparse
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +21,63 @@ BINARY_ENDINGS = "7z a avi bz2 class db dll dylib eot exe gif gz ico jar jpeg jp
 MOST_FILES, MOST_TEXT_BYTES, SNIFFED = 200, 262_144, 8192
 
 
+def _system(root: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), os.path.realpath(urlparse(root).path)) if urlparse(root).scheme in ("", "file") else fs.FileSystem.from_uri(root)
+
+
+def _listed(system: fs.FileSystem, base: str, folder: str) -> Iterator[tuple[str, int, int]]:
+    """(path, size, mtime) of the files below a folder of the tree ``base``. Pruned and hidden folders aren't entered, nor
+    are links, so that nothing outside is taken for a file of the tree."""
+    local = isinstance(system, fs.LocalFileSystem)
+    waiting = [folder]
+    while waiting:
+        for info in sorted(system.get_file_info(fs.FileSelector(waiting.pop())), key=lambda i: i.path):
+            if local and os.path.islink(info.path):
+                continue
+            if info.type == fs.FileType.Directory and info.base_name not in PRUNED and not info.base_name.startswith("."):
+                waiting.append(info.path)
+            elif info.type == fs.FileType.File:
+                yield info.path[len(base) :].lstrip("/"), info.size, info.mtime_ns or 0
+
+
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime, content) of all files below ``root``, any folder that Spark reads; contents are only read where
-    a plan needs them. Paths are relative. Links aren't followed out of the tree: what resolves elsewhere has no row."""
-    base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = re.escape(re.sub("^[a-z0-9]+://?", "", base).lstrip("/"))
-    rel = F.regexp_extract("path", f"{plain}/(.*)$", 1)
-    return rows.select(rel.alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), "content").where("path <> ''")
+    """(path, size, mtime) of the files below ``root``, a local folder or any URI that Arrow reads; paths are relative. The
+    root's own folders are listed by tasks. (Spark's own file index hides names that begin with a dot or underscore.)"""
+    system, base = _system(root)
+    top = system.get_file_info(fs.FileSelector(base))
+    local = isinstance(system, fs.LocalFileSystem)
+    own = [(i.base_name, i.size, i.mtime_ns or 0) for i in top if i.type == fs.FileType.File and not (local and os.path.islink(i.path))]
+    folders = [(i.path,) for i in top if i.type == fs.FileType.Directory and i.base_name not in PRUNED and not i.base_name.startswith(".") and not (local and os.path.islink(i.path))]
+    kind = "path string, size long, mtime long"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = _system(root)[0]
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = list(_listed(here, base, folder))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.int64(), pa.int64()))], ["path", "size", "mtime"])
+
+    below = spark.createDataFrame(folders, "folder string").repartition(max(1, min(len(folders), 1000))).mapInArrow(run, kind)
+    return spark.createDataFrame(own, kind).unionByName(below)
+
+
+def with_content(files: DataFrame, root: str, most: int = extract.MOST_BYTES) -> DataFrame:
+    """``files`` (path, size, mtime) with content, null where a file is larger than ``most`` bytes or can't be read. Filter
+    first: only the rows that remain are read."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _system(root)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                path, size = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as source:
+                        body = source.read() if size <= most else None
+                except OSError:
+                    body = None
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 1) for c in batch.columns), pa.array([body], pa.binary())], ["path", "size", "mtime", "content"])
+
+    return files.select("path", "size", "mtime").mapInArrow(run, "path string, size long, mtime long, content binary")
 
 
 # --- ignore rules ----------------------------------------------------------------------------------------------------
@@ -129,7 +183,7 @@ def valid_ref(ref: str) -> bool:
 
 def changed_names(diff: Column) -> Column:
     """The paths of a listing of changed names."""
-    return F.filter(F.transform(F.split(diff, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(diff, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numstat(diff: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from ctxlake.plans import more  # noqa: F401
 from ctxlake.plans.catalog import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, db, name):
     got = QUERIES[name](spark, DIR)
     cur = db.execute(ORACLE[name])
@@ -28,6 +29,11 @@ def test_same_rows_as_sql(spark, db, name):
     assert want
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE.keys()))
+def test_gives_rows(spark, name):
+    assert QUERIES[name](spark, DIR).count()
+
+
 def test_paragraphs_stay_whole(spark):
     from ctxlake.operators.search import paragraphs
 
