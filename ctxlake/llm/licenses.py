@@ -9,7 +9,8 @@ only reserves all rights, as those above a BSD license do, counts where no other
 
 Null texts have no passages. A null path has no directory and inherits nothing. Repeated rows are judged each; ties go to
 the greater score, then the smaller license name. Where a directory has several licence files, the best score counts.
-Other columns aren't read. An empty table gives an empty result.
+Other columns aren't read. An empty table gives an empty result. Words, notices and folders that very many rows share are
+joined by broadcast, where that is counted and small.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxlake.llm.columns import literal
-from ctxlake.llm.common import staged
+from ctxlake.llm.common import join_hot, small_side, staged
 
 #: Every template has a cue; lines without one are never scored.
 CUE = r"(?i)licen[cs]|copyright|spdx-|permission is hereby|redistribut|warrant(?:y|ies)\b|all\s+rights\s+reserved|public\s+domain|\bcc0\b|\bcc[ -]by\b|creative\s+commons|proprietary"
@@ -80,9 +81,9 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     everything = counts.select("passage", "n", "body").unionByName(templates.selectExpr("passage", "1L n", "body"))
     terms = staged(_terms(everything).join(everything.select("passage", "n"), "passage"), "terms")
     total = everything.agg(F.sum("n").alias("total"))
-    df = terms.groupBy("token").agg(F.sum("n").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).select("token", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = terms.join(idf, "token").select("passage", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    df = terms.groupBy("token").agg(F.sum("n").alias("df"), F.count("*").alias("rows"))
+    idf = staged(df.crossJoin(F.broadcast(total)).select("token", "rows", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    weighed = staged(join_hot(terms, idf, "token", "rows").select("passage", "token", (F.col("tf") * F.col("idf")).alias("w")), "weighed")
     norms = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # The templates' vectors are as many as the constant list above has words, so they may be broadcast.
     known = F.broadcast(weighed.join(templates.select("passage", "license"), "passage").join(norms, "passage").select(F.col("passage").alias("template"), "license", "token", (F.col("w") / F.col("norm")).alias("u")))
@@ -93,7 +94,9 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     # False sorts before true, so that what only reserves rights comes last.
     reserved = (F.col("license") == "Proprietary") & ~F.col("body").rlike(CLOSED)
     first = F.min(F.struct(reserved.alias("reserved"), (-F.col("score")).alias("minus"), "license"))
-    own = each.join(licensed, "passage").groupBy("row").agg(first.alias("b")).select("row", F.col("b.license").alias("own"), (-F.col("b.minus")).alias("own_score"), F.col("b.reserved").alias("reserved"))
+    # A notice that very many files share meets its license by broadcast.
+    known_passages = staged(licensed.join(counts.select("passage", "n"), "passage"), "known")
+    own = join_hot(each, known_passages, "passage", "n").groupBy("row").agg(first.alias("b")).select("row", F.col("b.license").alias("own"), (-F.col("b.minus")).alias("own_score"), F.col("b.reserved").alias("reserved"))
     judged = staged(kept.drop("passages").join(own, "row", "left"), "licensed")
 
     from_files = judged.where("is_file and own is not null").groupBy("dir").agg(F.min(F.struct("reserved", (-F.col("own_score")).alias("minus"), "own", "path")).alias("b"))
@@ -101,6 +104,6 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     dirs = judged.where("own is null and dir is not null").select("dir").distinct()
     spread = dirs.select("dir", F.explode(F.expr("transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))")).alias("ancestor"))
     nearest = spread.join(above, "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "license", "score", "licensed_by")).alias("b")).select("dir", "b.license", "b.score", "b.licensed_by")
-    out = judged.join(nearest, "dir", "left")
+    out = judged.join(small_side(staged(nearest, "nearest")), "dir", "left")
     origin = F.when(F.col("own").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("license").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("own", "license").alias("license"), F.coalesce("own_score", "score").alias("score"), origin.alias("origin"), F.when(F.col("own").isNull(), F.col("licensed_by")).alias("licensed_by"))
