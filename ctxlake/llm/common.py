@@ -99,7 +99,10 @@ def _plain(text: str) -> bool:
     return text.replace("\n", "").isprintable()
 
 
-_MARKS, LONG_TEXT = ".,!?;:*#%$&|", 8 << 20
+#: Bytes of texts that are encoded together (the more, the more units are met once), and of a text that comes in parts.
+_MARKS, TOGETHER, LONG_TEXT = ".,!?;:*#%$&|", 10 << 20, 8 << 20
+
+_ENDS = frozenset(_MARKS)
 
 
 class UnitEncoder:
@@ -117,7 +120,7 @@ class UnitEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.entries, self.young, self.old = entries, {}, {}
-        self.sep, self.sep_id = None, None
+        self.sep, self.sep_id, self.long = None, None, []
         one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         for sep in ("\n", " \x01 "):
             s = one("a" + sep + "b")[len(one("a")) : -len(one("b"))]
@@ -131,9 +134,15 @@ class UnitEncoder:
 
     def _fill(self, new: list[str], known: dict[str, bytes]) -> None:
         plain, odd = [], []
-        for u in new:
-            bare = u[1:] if u[:1] == " " else u
-            (plain if self.sep and len(u) <= 64 and bare.isprintable() and bare and " " not in bare else odd).append(u)
+        for a, b in slices(len(new), 512):
+            part = new[a:b]
+            # Where units hold no blanks at all, one look at a whole slice says that all of them are plain.
+            if self.folds and self.sep and all(part) and max(map(len, part)) <= 64 and (all_ := "".join(part)).isprintable() and " " not in all_:
+                plain += part
+                continue
+            for u in part:
+                bare = u[1:] if u[:1] == " " else u
+                (plain if self.sep and len(u) <= 64 and bare.isprintable() and bare and " " not in bare else odd).append(u)
         for a, b in slices(len(plain), 512):
             part = plain[a:b]
             ids = np.asarray(self.tok.encode_batch_fast([self.sep.join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -146,6 +155,7 @@ class UnitEncoder:
                 known[u] = raw[x:y]
         for u, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False)):
             known[u] = array("I", e.ids).tobytes()
+        self.long += [u for u in odd if len(u) > 64]
 
     def _known(self, distinct: list[str]) -> list[bytes]:
         if len(self.young) > self.entries:
@@ -159,17 +169,18 @@ class UnitEncoder:
         # Marks after a Latin letter are a token run of their own: encode the stem, which more units share.
         ended = {}
         for u in new:
-            stem = u.rstrip(_MARKS)
-            if len(stem) < len(u) and stem[-1:].isalpha() and stem[-1] < "\u0250":
-                ended[u] = stem
+            if u[-1:] in _ENDS:
+                stem = u.rstrip(_MARKS)
+                if stem[-1:].isalpha() and stem[-1] < "\u0250":
+                    ended[u] = stem
         parts = {x for u, stem in ended.items() for x in (stem, u[len(stem) :])}
+        self.long = [u for u in ended if len(u) > 64]
         self._fill(list(parts.union(new).difference(ended).difference(known)), known)
         for u, stem in ended.items():
             known[u] = known[stem] + known[u[len(stem) :]]
         out = list(map(known.__getitem__, distinct))
-        for u in new:
-            if len(u) > 64:
-                known.pop(u, None)
+        for u in self.long:
+            known.pop(u, None)
         return out
 
     def encode(self, texts: pa.Array, end: int | None = None) -> list[memoryview]:
@@ -222,7 +233,9 @@ class UnitEncoder:
             starts, sizes = np.insert(starts, upto, len(book) - 1), np.insert(sizes, upto, 1)
             upto = upto + np.arange(1, len(upto) + 1)
         ends = np.cumsum(sizes)
-        ids = book[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Places in the book fit 32 bits, which halves the largest arrays here.
+        kind = np.int32 if len(book) < 1 << 31 and (not len(ends) or ends[-1] < 1 << 31) else np.int64
+        ids = book[np.repeat((starts - (ends - sizes)).astype(kind), sizes) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=kind)]
         cuts = 4 * np.concatenate([[0], ends])[np.concatenate([[0], upto])]
         view = memoryview(ids.astype("<u4", copy=False)).cast("B")
         out: list[memoryview] = [view[:0]] * len(rows)

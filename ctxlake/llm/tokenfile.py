@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlake.llm.common import encoder, partitions, scratch, slices, staged
+from ctxlake.llm.common import TOGETHER, encoder, partitions, scratch, slices, staged
 from ctxlake.llm.words import by_bytes
 
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -189,7 +189,7 @@ def _write(batches: Iterable[pa.RecordBatch], vocabulary: str, end: int, folder:
     with system.open_output_stream(f"{base}/{name}") as out:
         writer = Writer(out)
         for batch in batches:
-            for a, b in by_bytes(batch.column(2)):
+            for a, b in by_bytes(batch.column(2), TOGETHER):
                 part = batch.slice(a, b - a)
                 for doc_id, order, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), enc.encode(part.column(2), end)):
                     first = (doc_id, order) if not n_docs else first
