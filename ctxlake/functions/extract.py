@@ -32,7 +32,7 @@ class Found(NamedTuple):
     text: str
 
 
-# --- lines ---------------------------------------------------------------------------------------------------------
+# --- lines
 
 
 def blank_long_lines(text: str) -> str:
@@ -66,7 +66,7 @@ def anywhere(text: str, pattern: re.Pattern) -> list[Found]:
     return [Found(m.start(), m[1]) for m in pattern.finditer(text)]
 
 
-# --- names -----------------------------------------------------------------------------------------------------------
+# --- names
 
 
 def stem(path: str) -> str:
@@ -104,9 +104,10 @@ def types(listed: str | None) -> list[str]:
     return out
 
 
-# --- languages -------------------------------------------------------------------------------------------------------
+# --- languages
 
-_ID, _B = r"([A-Za-z_]\w*)", r"[ \t]+"
+#: An identifier; blanks that must and that may stand.
+_ID, _B, _O = r"([A-Za-z_]\w*)", r"[ \t]+", r"[ \t]*"
 
 
 def _words(text: str) -> frozenset[str]:
@@ -123,10 +124,33 @@ def _any(names: str, least: str = "*") -> str:
     return f"(?:(?:{'|'.join(names.split())}){_B}){least}"
 
 
+def _may(words: str) -> str:
+    """Perhaps these words and blanks behind them."""
+    return f"(?:{words}{_B})?"
+
+
 def _one(names: str) -> str:
     return f"(?:{'|'.join(names.split())}){_B}"
 
 
+def _seg(chars: str) -> str:
+    """A captured name whose later characters are of such a class."""
+    return f"([A-Za-z_][{chars}]*)"
+
+
+def _after(words: str, chars: str) -> str:
+    """Perhaps one of the words and what it names."""
+    return f"(?:{_B}{words}{_B}{_seg(chars)})?"
+
+
+def _behind(mark: str, chars: str) -> str:
+    """Perhaps a mark and the names behind it."""
+    return f"(?:{_O}{mark}{_O}{_seg(chars)})?"
+
+
+_GENERIC, _TYPE = r"\w.<>, \t", r"\w<>?\[\]., \t"
+
+
 class Language(NamedTuple):
     definitions: list[tuple[str, re.Pattern]]
     imports: Callable[[str], list[Found]]
@@ -157,7 +181,7 @@ def _named(pattern: re.Pattern) -> Callable[[str], list[Found]]:
     return lambda text: anywhere(text, pattern)
 
 
-_RUST_SEEN = r"(?:pub(?:\([^)\n]*\))?[ \t]+)?"
+_RUST_SEEN = _may(r"pub(?:\([^)\n]*\))?")
 _dot = last_of(".")
 LANGUAGES: dict[str, Language] = {
     "js": Language(
@@ -176,16 +200,16 @@ LANGUAGES: dict[str, Language] = {
         _words("append bool byte cap chan close copy defer delete error float32 float64 for func go if int int32 int64 interface len make map new panic print println range recover return select string struct switch uint uint64"),
     ),
     "rust": Language(
-        [("function", _p(_RUST_SEEN, r"(?:default[ \t]+)?(?:const[ \t]+)?(?:async[ \t]+)?(?:unsafe[ \t]+)?", r'(?:extern[ \t]+"[^"\n]*"[ \t]+)?fn[ \t]+', _ID)), *(("class", _p(_RUST_SEEN, kind, _B, _ID)) for kind in ("struct", "enum", "trait"))],
-        _named(_p(r"(?:pub[ \t]+)?use[ \t]+([A-Za-z_][\w:]*)")), last_of("::"),
+        [("function", _p(_RUST_SEEN, *map(_may, ("default", "const", "async", "unsafe", f'extern{_B}"[^"\n]*"')), "fn", _B, _ID)), *(("class", _p(_RUST_SEEN, kind, _B, _ID)) for kind in ("struct", "enum", "trait"))],
+        _named(_p(_may("pub"), "use", _B, _seg(r"\w:"))), last_of("::"),
         _words("Err None Ok Self Some String Vec as assert assert_eq async await box break const continue crate dyn else enum extern false fn for format if impl in let loop match matches mod move mut panic print println pub ref return self static str struct super trait true type unsafe use vec where while write writeln"),
     ),
     "java": Language(
         [
-            ("class", _p(_any("abstract final non-sealed private protected public sealed static strictfp"), _one("class enum interface record"), _ID, r"(?:[ \t]+extends[ \t]+([A-Za-z_][\w.<>, \t]*))?(?:[ \t]+implements[ \t]+([A-Za-z_][\w.<>, \t]*))?")),
-            ("method", _p(_any("abstract default final native private protected public static strictfp synchronized", "+"), r"(?:[A-Za-z_][\w<>\[\].]*[ \t]+)?", _ID, r"[ \t]*\(")),
+            ("class", _p(_any("abstract final non-sealed private protected public sealed static strictfp"), _one("class enum interface record"), _ID, _after("extends", _GENERIC), _after("implements", _GENERIC))),
+            ("method", _p(_any("abstract default final native private protected public static strictfp synchronized", "+"), _may(r"[A-Za-z_][\w<>\[\].]*"), _ID, _O, r"\(")),
         ],
-        _named(_p(r"import[ \t]+(?:static[ \t]+)?([A-Za-z_][\w.]*(?:\.\*)?)")), _dot,
+        _named(_p("import", _B, _may("static"), r"([A-Za-z_][\w.]*(?:\.\*)?)")), _dot,
         _words("Integer List Map Object String System abstract assert boolean break byte case catch char class continue default do double else enum extends final float for if implements import instanceof int interface long native new package private protected public return short static super switch synchronized this throw throws try void while"),
     ),
     "c": Language(
@@ -198,82 +222,82 @@ LANGUAGES: dict[str, Language] = {
     ),
     "csharp": Language(
         [
-            ("class", _p(_any("abstract internal partial private protected public readonly sealed static unsafe"), _one("class enum interface record struct"), _ID, r"(?:[ \t]*:[ \t]*([A-Za-z_][\w.<>, \t]*))?")),
-            ("method", _p(_any("abstract async extern internal new override partial private protected public sealed static unsafe virtual", "+"), r"(?:[A-Za-z_][\w<>\[\].,]*[ \t]+)?", _ID, r"[ \t]*\(")),
+            ("class", _p(_any("abstract internal partial private protected public readonly sealed static unsafe"), _one("class enum interface record struct"), _ID, _behind(":", _GENERIC))),
+            ("method", _p(_any("abstract async extern internal new override partial private protected public sealed static unsafe virtual", "+"), _may(r"[A-Za-z_][\w<>\[\].,]*"), _ID, _O, r"\(")),
         ],
-        _named(_p(r"using[ \t]+(?:static[ \t]+)?([A-Za-z_][\w.]*)")), _dot,
+        _named(_p("using", _B, _may("static"), _seg(r"\w."))), _dot,
         _words("Console Dictionary List String abstract async await base bool catch class double enum finally float for foreach get if int interface internal long namespace new object out override params private protected public record ref return sealed set static string struct switch this throw try using var virtual void while"),
     ),
     "ruby": Language(
-        [("method", _p(r"def[ \t]+(?:self\.)?([A-Za-z_]\w*[!?=]?)")), ("class", _p(r"class[ \t]+", _ID, r"(?:[ \t]*<[ \t]*([A-Za-z_][\w:]*))?")), ("class", _p(r"module[ \t]+", _ID))],
+        [("method", _p(r"def[ \t]+(?:self\.)?([A-Za-z_]\w*[!?=]?)")), ("class", _p(r"class[ \t]+", _ID, _behind("<", r"\w:"))), ("class", _p(r"module[ \t]+", _ID))],
         _quoted(_p(r"""require(?:_relative)?[ \t]+['"]([^'"\n]+)['"]""")), by_path,
         _words("and attr_accessor attr_reader attr_writer begin class def do each else elsif end ensure false for if in lambda loop map module new nil not or p print proc puts raise require require_relative rescue return self super then true unless until while yield"),
     ),
     "php": Language(
-        [("function", _p(_any("abstract final private protected public static"), r"function[ \t]+(?:&[ \t]*)?", _ID, r"[ \t]*\(")), ("class", _p(_any("abstract final"), _one("class interface trait"), _ID, r"(?:[ \t]+extends[ \t]+([A-Za-z_][\w\\]*))?"))],
-        _named(_p(r"use[ \t]+(?:function[ \t]+)?([A-Za-z_][\w\\]*)")), last_of("\\"),
+        [("function", _p(_any("abstract final private protected public static"), r"function[ \t]+(?:&[ \t]*)?", _ID, r"[ \t]*\(")), ("class", _p(_any("abstract final"), _one("class interface trait"), _ID, _after("extends", r"\w\\")))],
+        _named(_p("use", _B, _may("function"), _seg(r"\w\\"))), last_of("\\"),
         _words("abstract and array catch class const echo empty extends false final finally for foreach function if implements include include_once interface isset list namespace new null or parent print private protected public require require_once return self static switch this throw trait true try unset use var while"),
     ),
     "kotlin": Language(
         [
-            ("function", _p(_any("actual expect external infix inline internal open operator override private protected public suspend tailrec"), r"fun[ \t]+(?:[A-Za-z_]\w*\.)?", _ID, r"[ \t]*[(<]")),
-            ("class", _p(_any("abstract actual data enum expect final inner internal open private protected public sealed value"), _one("class interface object"), _ID, r"(?:[ \t]*:[ \t]*([A-Za-z_][\w.<>, \t]*))?")),
+            ("function", _p(_any("actual expect external infix inline internal open operator override private protected public suspend tailrec"), "fun", _B, r"(?:[A-Za-z_]\w*\.)?", _ID, _O, "[(<]")),
+            ("class", _p(_any("abstract actual data enum expect final inner internal open private protected public sealed value"), _one("class interface object"), _ID, _behind(":", _GENERIC))),
         ],
-        _named(_p(r"import[ \t]+([A-Za-z_][\w.]*(?:\.\*)?)")), _dot,
+        _named(_p("import", _B, r"([A-Za-z_][\w.]*(?:\.\*)?)")), _dot,
         _words("abstract as class companion data enum false final for fun if import in interface internal is listOf mapOf null object open override package print println private protected public return sealed super suspend this true val var when while"),
     ),
     "scala": Language(
         [
             ("function", _p(_any("final inline opaque override private protected"), r"def[ \t]+", _ID)),
-            ("class", _p(_any("abstract case final private protected sealed"), _one("class object trait"), _ID, r"(?:[ \t]+extends[ \t]+([A-Za-z_][\w.]*))?(?:[ \t]+with[ \t]+([A-Za-z_][\w. \t]*))?")),
+            ("class", _p(_any("abstract case final private protected sealed"), _one("class object trait"), _ID, _after("extends", r"\w."), _after("with", r"\w. \t"))),
         ],
-        _named(_p(r"import[ \t]+([A-Za-z_][\w.]*(?:\.[_{*][\w., \t*]*)?)")), _dot,
+        _named(_p("import", _B, r"([A-Za-z_][\w.]*(?:\.[_{*][\w., \t*]*)?)")), _dot,
         _words("abstract case class def false final for given if import match new null object override package private protected return sealed super this trait true type using val var while"),
     ),
     "swift": Language(
         [
             ("function", _p(_any("class fileprivate final internal mutating nonmutating open override private public static"), r"func[ \t]+", _ID)),
-            ("class", _p(_any("fileprivate final internal open private public"), _one("actor class enum protocol struct"), _ID, r"(?:[ \t]*:[ \t]*([A-Za-z_][\w., \t]*))?")),
+            ("class", _p(_any("fileprivate final internal open private public"), _one("actor class enum protocol struct"), _ID, _behind(":", r"\w., \t"))),
         ],
-        _named(_p(r"import[ \t]+([A-Za-z_][\w.]*)")), _dot,
+        _named(_p("import", _B, _seg(r"\w."))), _dot,
         _words("as catch class defer enum extension false final for func guard if import in internal is let nil open override print private protocol public return self static struct super switch throw true try var while"),
     ),
     "lua": Language(
-        [("function", _p(r"(?:local[ \t]+)?function[ \t]+([A-Za-z_]\w*(?:[.:][A-Za-z_]\w*)*)")), ("function", _p(r"(?:local[ \t]+)?", _ID, r"[ \t]*=[ \t]*function\b"))],
+        [("function", _p(_may("local"), "function", _B, r"([A-Za-z_]\w*(?:[.:][A-Za-z_]\w*)*)")), ("function", _p(_may("local"), _ID, _O, "=", _O, r"function\b"))],
         _quoted(re.compile(r"""require[ \t]*\([ \t]*['"]([^'"]+)['"]""")), by_path,
         _words("and do else elseif end false for function if in ipairs local nil not or pairs print repeat require return then true until while"),
     ),
     "zig": Language(
-        [("function", _p(r"(?:pub[ \t]+)?(?:export[ \t]+)?(?:inline[ \t]+)?fn[ \t]+", _ID)), ("class", _p(r"(?:pub[ \t]+)?const[ \t]+", _ID, r"[ \t]*=[ \t]*(?:struct|enum|union|opaque)\b"))],
+        [("function", _p(*map(_may, ("pub", "export", "inline")), "fn", _B, _ID)), ("class", _p(_may("pub"), "const", _B, _ID, _O, "=", _O, r"(?:enum|opaque|struct|union)\b"))],
         _quoted(re.compile(r"""@[a-zA-Z]+[ \t]*\([ \t]*['"]([^'"]+)['"]""")), by_path,
         _words("and catch comptime const defer enum errdefer export extern false fn for if inline null opaque or pub return struct switch test true try undefined union var void while"),
     ),
     "bash": Language(
-        [("function", _p(r"(?:function[ \t]+)?([A-Za-z_][\w-]*)[ \t]*\(\)[ \t]*\{?")), ("function", _p(r"function[ \t]+([A-Za-z_][\w-]*)[ \t]*\{?"))],
+        [("function", _p(_may("function"), _seg(r"\w-"), _O, r"\(\)", _O, r"\{?")), ("function", _p("function", _B, _seg(r"\w-"), _O, r"\{?"))],
         _named(_p(r"""(?:source|\.)[ \t]+['"]?([^ \t'"]+)['"]?""")), by_path,
         _words("case coproc declare do done echo elif else esac export false fi for function if in local printf readonly return select set test then time true unset until while"),
     ),
     "elixir": Language(
         [("function", _p(r"defp?[ \t]+([A-Za-z_]\w*[!?]?)")), ("class", _p(r"defmodule[ \t]+([A-Za-z_][\w.]*)"))],
-        _named(_p(r"(?:alias|import|require|use)[ \t]+([A-Za-z_][\w.]*)")), _dot,
+        _named(_p(_one("alias import require use"), _seg(r"\w."))), _dot,
         _words("after alias case catch cond def defimpl defmacro defmacrop defmodule defp defprotocol defstruct do end false fn for if import nil raise require rescue true try unless use with"),
     ),
     "julia": Language(
-        [("function", _p(r"(?:function|macro)[ \t]+([A-Za-z_!]\w*[!?]?)[ \t]*\(")), ("class", _p(r"(?:(?:mutable[ \t]+)?struct|abstract[ \t]+type|primitive[ \t]+type|module)[ \t]+", _ID, r"(?:[ \t]*<:[ \t]*([A-Za-z_][\w.]*))?"))],
-        _named(_p(r"(?:using|import)[ \t]+([A-Za-z_][\w.]*)")), _dot,
+        [("function", _p(_one("function macro"), r"([A-Za-z_!]\w*[!?]?)", _O, r"\(")), ("class", _p(f"(?:module|{_may('mutable')}struct|abstract{_B}type|primitive{_B}type){_B}", _ID, _behind("<:", r"\w.")))],
+        _named(_p(_one("import using"), _seg(r"\w."))), _dot,
         _words("abstract begin catch const else elseif end export false finally for function global if import local macro module nothing primitive quote return struct true try using while"),
     ),
     "dart": Language(
         [
-            ("function", _p(_any("covariant external static"), r"(?:[A-Za-z_][\w<>?\[\]., \t]*[ \t]+)?", _ID, r"[ \t]*\([^)\n]*\)[ \t]*(?:async[ \t]*)?\{")),
-            ("class", _p(_any("abstract base final interface mixin sealed"), _one("class enum extension mixin"), _ID, r"(?:[ \t]+extends[ \t]+([A-Za-z_][\w.]*))?(?:[ \t]+(?:with|implements)[ \t]+([A-Za-z_][\w., \t]*))?")),
+            ("function", _p(_any("covariant external static"), f"(?:{_seg(_TYPE)[1:-1]}{_B})?", _ID, _O, r"\([^)\n]*\)", _O, f"(?:async{_O})?", r"\{")),
+            ("class", _p(_any("abstract base final interface mixin sealed"), _one("class enum extension mixin"), _ID, _after("extends", r"\w."), _after("(?:with|implements)", r"\w., \t"))),
         ],
         _quoted(_p(r"""import[ \t]+['"]([^'"]+)['"]""")), by_path,
         _words("abstract as async await catch class const dynamic enum export extension false final finally for if import in is late library mixin new null part print return static super switch this throw true try typedef var void while yield"),
     ),
     "powershell": Language(
-        [("function", _p(_one("filter function workflow"), r"([A-Za-z_][\w-]*)")), ("class", _p(r"class[ \t]+", _ID, r"(?:[ \t]*:[ \t]*([A-Za-z_][\w.]*))?"))],
-        _named(_p(r"(?:Import-Module|using[ \t]+module)[ \t]+([A-Za-z_][\w./-]*)", flags=re.I)), by_path,
+        [("function", _p(_one("filter function workflow"), r"([A-Za-z_][\w-]*)")), ("class", _p(r"class[ \t]+", _ID, _behind(":", r"\w.")))],
+        _named(_p(f"(?:using{_B}module|Import-Module){_B}", _seg(r"\w./-"), flags=re.I)), by_path,
         _words("begin catch class else elseif end false filter finally for foreach function if null param process return switch throw true try while write-host write-output"),
     ),
 }
@@ -299,7 +323,7 @@ def by_patterns(text: str, language: Language) -> list[Symbol]:
     return out
 
 
-# --- Python ----------------------------------------------------------------------------------------------------------
+# --- Python
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
@@ -352,11 +376,11 @@ def python_symbols(text: str) -> list[Symbol]:
     return out
 
 
-# --- formats without calls -------------------------------------------------------------------------------------------
+# --- formats without calls
 
 _BLOCK = _p("(" + "|".join("data locals module output provider resource terraform variable".split()) + r')[ \t]+(?:"([^"]+)"[ \t]+)?(?:"([^"]+)")?')
 _QUOTED_ID = r'[`"\[]?([A-Za-z_]\w*)[`"\]]?'
-_CREATE = _p(r"CREATE[ \t]+(?:OR[ \t]+REPLACE[ \t]+)?(?:TEMP(?:ORARY)?[ \t]+)?", "(" + "|".join("FUNCTION INDEX PROCEDURE SCHEMA SEQUENCE TABLE TRIGGER TYPE VIEW".split()) + ")", r"[ \t]+(?:IF[ \t]+NOT[ \t]+EXISTS[ \t]+)?", rf"(?:{_QUOTED_ID}\.)?{_QUOTED_ID}", flags=re.I)
+_CREATE = _p("CREATE", _B, _may(f"OR{_B}REPLACE"), _may("TEMP(?:ORARY)?"), "(" + "|".join("FUNCTION INDEX PROCEDURE SCHEMA SEQUENCE TABLE TRIGGER TYPE VIEW".split()) + ")", _B, _may(f"IF{_B}NOT{_B}EXISTS"), rf"(?:{_QUOTED_ID}\.)?{_QUOTED_ID}", flags=re.I)
 _SCRIPT, _HEADING, _KEY = re.compile(r"<script\b[^>]*>(.*?)</script>", re.I | re.S), re.compile(r"^#{1,6}[ \t]+(.+?)\s*$", re.M), re.compile(r"^([A-Za-z_][\w.-]*)[ \t]*:", re.M)
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
@@ -406,7 +430,7 @@ def yaml_keys(text: str) -> list[Symbol]:
     return [Symbol(m[1], "key", lines.of(m.start()), []) for m in _KEY.finditer(text)]
 
 
-# --- manifests -------------------------------------------------------------------------------------------------------
+# --- manifests
 
 
 def requirement_name(spec: str) -> str:

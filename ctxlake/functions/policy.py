@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
 
-# --- URLs ------------------------------------------------------------------------------------------------------------
+# --- URLs
 
 SCHEMES, PORTS = ("http", "https"), ("", "80", "443")
 
@@ -33,7 +33,7 @@ def looks_like_html(content_type: Column, body: Column) -> Column:
     return F.coalesce(F.lower(content_type).contains("html"), F.lit(False)) | body.rlike(r"(?i)^\s*<(!doctype html|html)\b")
 
 
-# --- addresses -------------------------------------------------------------------------------------------------------
+# --- addresses
 
 #: (network, reason); the first that holds an address counts.
 BLOCKED_V4 = [
@@ -94,7 +94,7 @@ def address_verdict(ip: Column) -> Column:
     return F.when(n.isNotNull(), four).otherwise(other)
 
 
-# --- scripts ---------------------------------------------------------------------------------------------------------
+# --- scripts
 
 _CORE = r"['\"](?:node:)?(?:dgram|http|http2|https|net|tls)['\"]"
 #: (label, pattern) of what reaches for the network; the first that matches is named.
@@ -113,7 +113,7 @@ def network_use(script: Column) -> Column:
     return F.coalesce(*(F.when(script.rlike(pattern), label) for label, pattern in NETWORK_USES))
 
 
-# --- HTML ------------------------------------------------------------------------------------------------------------
+# --- HTML
 
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
 #: (pattern, replacement), in order.
@@ -153,7 +153,7 @@ def html_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), F.lit(" \n\r\t"))
 
 
-# --- names -----------------------------------------------------------------------------------------------------------
+# --- names
 
 
 def release_number(tag: Column) -> Column:

@@ -82,7 +82,7 @@ def compressed_json(text: Column, fields: tuple[str, ...] = ("description",)) ->
     return run(text)
 
 
-# --- files -----------------------------------------------------------------------------------------------------------
+# --- files
 
 PROSE_ENDINGS = "markdown md rst tex txt typ typst".split()
 CONFIG_ENDINGS = "cfg env ini json toml yaml yml".split()
@@ -134,7 +134,7 @@ def unwrapped(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 2)).otherwise(text)
 
 
-# --- validation ------------------------------------------------------------------------------------------------------
+# --- validation
 
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})(.*)$", re.A)
 URL, PATH = r"https?://[^\s)]+", r"(?:\./|\.\./|/|[A-Za-z]:\\)[\w\-/\\.]+|[\w\-.]+[/\\][\w\-/\\.]+"

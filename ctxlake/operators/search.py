@@ -56,24 +56,17 @@ def sections(text: str) -> list[str]:
 
 def packed(parts: list[str], size: int) -> list[str]:
     """Parts joined by blank lines into chunks of at most ``size`` characters; longer ones are cut."""
-    out, buf = [], ""
-
-    def flush() -> None:
-        nonlocal buf
-        if buf.strip():
-            out.append(buf.strip())
-        buf = ""
-
-    for part in parts:
-        if len(part) >= size:
-            flush()
-            out.extend(part[i : i + size] for i in range(0, len(part), size))
-        else:
-            if len(buf) + len(part) + 2 > size:
-                flush()
-            buf += ("\n\n" if buf else "") + part
-    flush()
-    return out
+    chunks, held = [], ""
+    for part in [*parts, None]:
+        large = part is not None and len(part) >= size
+        if part is None or large or len(held) + len(part) + 2 > size:
+            chunks += [held.strip()] * bool(held.strip())
+            held = ""
+        if large:
+            chunks += [part[i : i + size] for i in range(0, len(part), size)]
+        elif part is not None:
+            held = f"{held}\n\n{part}" if held else part
+    return chunks
 
 
 def markdown_chunks(text: str, size: int = CHUNK) -> list[str]:

@@ -22,7 +22,7 @@ _EDITORS = "ApplyPatch CreateFile Delete DeleteFile Edit MultiEdit NotebookEdit
 HINTS = ("# decisions, errors, rules", "# changes and tasks", "# actions and reads", "# context", "# other")
 
 
-# --- payloads --------------------------------------------------------------------------------------------------------
+# --- payloads
 
 
 def _at(payload: Column, *paths: str) -> Column:
@@ -148,7 +148,7 @@ def switched_on(prompt: Column, kinds: list[str]) -> Column:
     return F.when(~text.rlike(r"\b(deactivate|disable|stop|turn off)\b"), F.nullif(F.concat(F.regexp_extract(text, asks, 1), F.regexp_extract(text, asks, 2)), F.lit("")))
 
 
-# --- the log ---------------------------------------------------------------------------------------------------------
+# --- the log
 
 
 def checked(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,7 +87,7 @@ def migrated(docs: DataFrame) -> DataFrame:
     return docs.unionByName(docs.sparkSession.createDataFrame([], DOCS), allowMissingColumns=True)
 
 
-# --- views -----------------------------------------------------------------------------------------------------------
+# --- views
 
 
 @F.arrow_udf(StringType())

@@ -24,7 +24,7 @@ def _graph(spark: SparkSession, d: str) -> explore.Graph:
     return explore.Graph(*graph.from_tables(spark, d))
 
 
-# --- graphs ----------------------------------------------------------------------------------------------------------
+# --- graphs
 
 SOURCES = {
     "alpha.py": "import json\n\ndef load_config(path):\n    return json.load(path)\n\ndef parse_entry(raw):\n    return load_config(raw)\n\nclass Store:\n    def save(self):\n        return parse_entry(1)\n",
@@ -191,7 +191,7 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def central_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return network.central(_small(spark, d), 10, "betweenness")
+    return network.central(_small(spark, d), 10)
 
 
 @query(f"select 'one' || '::' || id as id, 'one/' || file as file from ({_NODES}) where file in ('region', 'nation') union all select 'two' || '::' || id, 'two/' || file from ({_NODES}) where file in ('region', 'nation')")
@@ -201,7 +201,7 @@ def joined_graphs(spark: SparkSession, d: str) -> DataFrame:
     return graph.union([("/x/one", nodes, edges), ("/y/two", nodes, edges)])[0].select("id", "file")
 
 
-# --- store -----------------------------------------------------------------------------------------------------------
+# --- store
 
 
 @query(r"""select doc_id, case when code >= 6 and prose >= 8 then 'mixed' when code >= 6 then 'code' else 'prose' end as kind from (select doc_id,
@@ -246,7 +246,7 @@ def substring_hits(spark: SparkSession, d: str) -> DataFrame:
     return store.substring_view(chunks, "Licensed", 40).select("doc_id", "idx", F.round(1 / (F.lit(60.0) + F.col("rank")), 9).alias("score"))
 
 
-# --- sessions --------------------------------------------------------------------------------------------------------
+# --- sessions
 
 _EVENT = "select user_id::varchar as session, event_id as seq, epoch_ms(ts)::bigint as ts, case event_type when 'error' then 'error' when 'purchase' then 'file_edit' when 'click' then 'exec' when 'signup' then 'decision' else 'unheard' end as kind from events"
 
@@ -275,7 +275,7 @@ def tool_events(spark: SparkSession, d: str) -> DataFrame:
     return sessions.extract_events(rows)
 
 
-# --- policies and text -----------------------------------------------------------------------------------------------
+# --- policies and text
 
 _IPS = ["169.254.169.254", "127.0.0.1", "10.1.2.3", "8.8.8.8", "172.31.0.1", "172.32.0.1", "1.2.3.256", "192.0.2.7", "255.1.1.1", "100.127.255.255"]
 _BLOCKS = [(i, low, high, reason) for i, (low, high, reason) in enumerate(policy._RANGES)]
@@ -360,7 +360,7 @@ def compressed_prose(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "c.before", "c.after", F.size(found["errors"]).alias("errors"))
 
 
-# --- aggregates ------------------------------------------------------------------------------------------------------
+# --- aggregates
 
 
 @query("select l_returnflag as arm, count(*)::bigint as n, round(avg(l_linenumber), 9) as mean, max(l_linenumber)::bigint as best, min(l_linenumber)::bigint as worst from lineitem where l_linenumber is not null group by 1")
@@ -370,6 +370,12 @@ def judged_arms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where(n.isNotNull()).groupBy(F.col("l_returnflag").alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg(n), 9).alias("mean"), F.max(n).alias("best"), F.min(n).alias("worst"))
 
 
+@query("select l_returnflag as arm, l_linestatus as task, median(l_quantity)::double as median_loc, median(l_extendedprice)::double as median_cost, count(*)::bigint as n from lineitem group by all")
+def model_medians(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), F.col("l_linestatus").alias("task"))
+    return rows.agg(F.median("l_quantity").alias("median_loc"), F.median("l_extendedprice").alias("median_cost"), F.count("*").alias("n"))
+
+
 @query("select coalesce(l_returnflag, 'all') as task, sum(l_quantity)::bigint as before, sum(case when l_linestatus = 'F' then l_quantity else 0 end)::bigint as after, count(*) filter (l_discount > 0.05 and l_tax <= 0.02)::bigint as regressions from lineitem group by rollup (l_returnflag)")
 def bench_totals(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").rollup(F.col("l_returnflag").alias("task")).agg(F.sum("l_quantity").cast("long").alias("before"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0)).cast("long").alias("after"), F.count_if(F.expr("l_discount > 0.05 and l_tax <= 0.02")).alias("regressions"))

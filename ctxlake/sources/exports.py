@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import tempfile
 from html import escape
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +117,55 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("session string, seq long, ts long, kind string, summary string").parquet(path)
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """The fingerprints and symbols of operators.symbols.refresh()."""
+    index.select("path", "size", "mtime", "sha256", "symbols").write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """A saved index; None, so that all is built anew, if there is none or any entry of it isn't sound."""
+    try:
+        index = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    if {"path", "size", "mtime", "sha256", "symbols"} - set(index.columns):
+        return None
+    sound = "path <> '' and size >= 0 and mtime is not null and (sha256 = '' or sha256 rlike '^[0-9a-f]{64}$') and symbols is not null and forall(symbols, s -> s.name is not null and s.kind is not null and s.line >= 1 and s.refs is not null)"
+    unsound = index.where(~F.coalesce(F.expr(sound), F.lit(False))).limit(1).count()
+    twice = index.groupBy("path").count().where("count > 1").limit(1).count()
+    return None if unsound or twice else index
+
+
+def save_communities(found: DataFrame, path: str) -> None:
+    found.select("id", "community").write.mode("overwrite").parquet(path)
+
+
+def load_communities(spark: SparkSession, path: str) -> DataFrame:
+    """(id, community); empty if there are none or they aren't what they should be."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:
+        found = None
+    if found is None or {"id", "community"} - set(found.columns) or dict(found.dtypes)["community"] not in ("int", "bigint"):
+        return spark.createDataFrame([], "id string, community int")
+    return found.select("id", "community")
+
+
+def named_graph(folder: str, name: str) -> str:
+    """Where the graph of that name is kept below a folder that several trees share."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+        raise ValueError("a name of letters, digits, dots, dashes and underscores")
+    return f"{folder.rstrip('/')}/graphs/{name}"
+
+
+def log_query(path: str, entry: dict) -> bool:
+    """Add a line of JSON to a local log. A question is never lost for its log: failures are told, not raised."""
+    try:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "a", encoding="utf-8") as out:
+            out.write(json.dumps(entry, ensure_ascii=False) + "\n")
+        return True
+    except (OSError, TypeError, ValueError):
+        return False

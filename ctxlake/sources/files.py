@@ -80,7 +80,7 @@ def with_content(files: DataFrame, root: str, most: int = extract.MOST_BYTES) ->
     return files.select("path", "size", "mtime").mapInArrow(run, "path string, size long, mtime long, content binary")
 
 
-# --- ignore rules ----------------------------------------------------------------------------------------------------
+# --- ignore rules
 
 
 def glob_regex(pattern: str) -> str:
@@ -173,7 +173,7 @@ def store_files(files: DataFrame, most: int = MOST_FILES, most_bytes: int = MOST
     return rows.select("path", status.alias("status"), over.alias("truncated"), F.when(over, F.substring("text", 1, most_bytes)).otherwise(F.col("text")).alias("text"))
 
 
-# --- repositories and sessions ---------------------------------------------------------------------------------------
+# --- repositories and sessions
 
 
 def valid_ref(ref: str) -> bool:

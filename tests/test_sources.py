@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_sessions import column
 
-from ctxlake.operators.symbols import build, extract_symbols
+from ctxlake.operators.symbols import build, extract_symbols, refresh, symbols_of
 from ctxlake.sources import exports, files
 
 
@@ -89,3 +89,19 @@ def test_exports(spark, tree, tmp_path):
     assert exports.lessons(nodes, tags) == "# Lessons\n\n- a (a.py:1)\n"
     exports.replace_file(f"{tmp_path}/deep/x.md", "t")
     assert open(f"{tmp_path}/deep/x.md").read() == "t" and os.listdir(f"{tmp_path}/deep") == ["x.md"]
+
+
+def test_caches(spark, tree, tmp_path):
+    assert exports.load_index(spark, f"{tmp_path}/none") is None and exports.load_communities(spark, f"{tmp_path}/none").count() == 0
+    index = refresh(files.source_files(tree))
+    exports.save_index(index, f"{tmp_path}/i")
+    kept = exports.load_index(spark, f"{tmp_path}/i")
+    assert symbols_of(kept).count() == symbols_of(index).count() and all(r.reused for r in refresh(files.source_files(tree), kept).collect())
+    exports.save_index(kept.withColumn("sha256", F.when(F.col("path") == "a.py", "x").otherwise(F.col("sha256"))), f"{tmp_path}/bad")
+    assert exports.load_index(spark, f"{tmp_path}/bad") is None
+    exports.save_communities(spark.createDataFrame([("a", 1)], "id string, community int"), f"{tmp_path}/c")
+    assert exports.load_communities(spark, f"{tmp_path}/c").count() == 1
+    assert exports.named_graph("/x/", "my.tree") == "/x/graphs/my.tree"
+    with pytest.raises(ValueError):
+        exports.named_graph("/x", "../y")
+    assert exports.log_query(f"{tmp_path}/log/q.jsonl", {"q": "é"}) and not exports.log_query(f"{tmp_path}/log", {"q": 1}) and json.loads(open(f"{tmp_path}/log/q.jsonl").read()) == {"q": "é"}
