@@ -1,16 +1,16 @@
 """Session events: extraction from tool payloads, priority order, snapshots within a byte budget, and guides.
 
 Payloads are JSON in a column. Events are rows (session, seq, ts, kind, summary). Extraction is column expressions. A
-snapshot is a greedy walk that later, smaller events may still enter, so it is folded per session; since of the events of
-one tier and one line length only as many as fill the budget can ever enter, no more of them are brought together, and a
-session of any length gives a bounded group.
+snapshot is a greedy walk that later, smaller events may still enter, so it is folded per session, in columns; since of the
+events of one tier and one line length only as many as fill the budget can ever enter, no more of them are brought together,
+and a session of any length gives a bounded group. snapshot_text() and guide_text() say the same of one session in Python.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,47 +214,105 @@ def guide_text(counts: dict[str, int], recent: dict[str, list[str]], most: int =
 
 
 LAST = {"decision": 3, "error": 3, "edit": 5, "git": 2}
+TITLES = {"decision": "Decisions:", "error": "Errors:", "edit": "Files touched:", "git": "Git:"}
 
 
-def guides(events: DataFrame, most: int = GUIDE_BYTES) -> DataFrame:
-    """(session, guide): only the last few events of each group are brought together."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _strings(*items: Column | str) -> Column:
+    return F.array(*(F.lit(x) if isinstance(x, str) else x for x in items)).cast("array<string>")
+
+
+def _stripped(text: Column) -> Column:
+    """str.strip() as a column."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def guide_column(counts: dict[str, Column], recent: Column, most: int) -> Column:
+    """guide_text() as a column; recent: array<struct<g, said>> in order."""
+    n = {k: c.cast("string") for k, c in counts.items()}
+    head = F.concat(F.lit("## Session guide\nEvents: "), n["all"], F.lit(" (decisions "), n["decision"], F.lit(", errors "), n["error"], F.lit(", edits "), n["edit"], F.lit(", git "), n["git"], F.lit(")."))
+
+    def section(title: str, group: str) -> Column:
+        listed = F.transform(F.filter(recent, lambda x: x.g == group), lambda x: F.concat(F.lit("- "), F.coalesce(x.said, F.lit("None"))))
+        return _let(listed, lambda own: F.when(F.size(own) > 0, F.concat(_strings(title), own)).otherwise(_strings()))
+
+    details = F.concat(*(section(title, group) for group, title in TITLES.items()), _strings("Details are in the event log."))
+
+    def shortened(head: Column, details: Column) -> Column:
+        text = lambda i: F.concat_ws("\n", head, F.slice(details, i, F.size(details)))
+        fits = F.filter(F.sequence(F.lit(1), F.size(details)), lambda i: (i == F.size(details)) | (F.octet_length(text(i)) <= most))
+        return _let(text(fits[0]), lambda t: F.when(F.octet_length(t) <= most, t).otherwise(F.substring(t, 1, most)))
+
+    return _let(head, lambda h: _let(details, lambda d: shortened(h, d)))
+
+
+def snapshot_column(lines: Column, total: Column, guide: Column, ts: int, most: int, hints: tuple[str, ...] = HINTS) -> Column:
+    """snapshot_text() as a column; lines: array<struct<tier, line>> in order."""
+    header = F.concat(F.lit(f"session snapshot @{ts}: "), total.cast("string"), F.lit(" event(s)"))
+    hint_of = lambda level: F.element_at(_strings(*(f"\n{h}" for h in hints)), F.least(level, F.lit(len(hints) - 1)) + 1)
+    mark = lambda n: F.concat(F.lit("\n(+"), n.cast("string"), F.lit(" more event(s) in the store)"))
+
+    def enter(a: Column, x: Column) -> Column:
+        own = F.when(x.tier != a["last"], _strings(hint_of(x.tier), x.line)).otherwise(_strings(x.line))
+        used = a.used + F.octet_length(x.line) + F.when(x.tier != a["last"], F.octet_length(hint_of(x.tier))).otherwise(0)
+        return F.when(used <= most, F.struct(used.alias("used"), (a.taken + 1).alias("taken"), x.tier.alias("last"), F.concat(a.parts, own).alias("parts"))).otherwise(a)
+
+    def leave(a: Column, part: Column) -> Column:
+        full = a.used + F.octet_length(mark(a.omitted)) > most
+        return F.when((a.omitted > 0) & full, F.struct((a.used - F.octet_length(part)).alias("used"), (a.popped + 1).alias("popped"), (a.omitted + 1).alias("omitted"))).otherwise(a)
+
+    def told(room: Column) -> Column:
+        """The guide cut by eights to the room, or nothing."""
+        cut = lambda t: _let(F.filter(F.sequence(F.length(t), F.lit(-7), F.lit(-8)), lambda n: F.octet_length(F.substring(t, F.lit(1), n)) <= room)[0], lambda n: F.substring(t, F.lit(1), n))
+        some = _let(F.concat(F.lit("\n"), _stripped(guide)), lambda t: _let(cut(t), lambda t: F.when(F.length(_stripped(t)) > 20, t).otherwise("")))
+        return F.when((room > 40) & (_stripped(guide) != ""), some).otherwise("")
+
+    def ended(s: Column, e: Column) -> Column:
+        shown = (e.omitted > 0) & (e.used + F.octet_length(mark(e.omitted)) <= most)
+        end = F.when(shown, mark(e.omitted)).otherwise("")
+        return F.concat(header, told(most - e.used - F.octet_length(end)), F.array_join(F.slice(s.parts, F.lit(1), F.size(s.parts) - e.popped), ""), end)
+
+    none = F.struct(F.octet_length(header).alias("used"), F.lit(0).alias("taken"), F.lit(-1).alias("last"), _strings().alias("parts"))
+    walked = F.aggregate(lines, none, enter)
+    pops = lambda s: F.aggregate(F.reverse(s.parts), F.struct(s.used.alias("used"), F.lit(0).alias("popped"), (total - s.taken).alias("omitted")), leave)
+    return _let(walked, lambda s: _let(pops(s), lambda e: ended(s, e)))
+
+
+def _recent(events: DataFrame) -> tuple[DataFrame, dict[str, Column], Column]:
+    """``events`` with what a guide needs, and its counts and last few events of each group as aggregates of a session."""
     group = F.when(F.col("kind").isin(*EDITS), "edit").when(F.col("kind").isin("decision", "error", "git"), F.col("kind"))
-    rows = events.withColumn("g", group)
     last = Window.partitionBy("session", "g").orderBy(F.desc("seq"))
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in LAST.items() for x in kv)), F.col("g"))
     said = F.when(F.col("kind") == "error", F.concat(F.lit("["), error_class(F.col("summary")), F.lit("] "), one_line(F.col("summary")))).otherwise(one_line(F.col("summary")))
-    recent = rows.where("g is not null").withColumn("n", F.row_number().over(last)).where(F.col("n") <= limit).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "g", said.alias("said")))).alias("recent"))
-    counts = rows.groupBy("session").agg(F.count("*").alias("all"), *(F.count_if(F.col("g") == k).alias(k) for k in LAST))
+    rows = events.withColumn("g", group).withColumn("late", F.row_number().over(last) <= limit)
+    counts = {"all": F.count("*"), **{k: F.count_if(F.col("g") == k) for k in LAST}}
+    return rows, counts, F.array_sort(F.collect_list(F.when(F.col("late"), F.struct("seq", "g", said.alias("said")))))
 
-    @F.pandas_udf("string")
-    def told(all_: pd.Series, decision: pd.Series, error: pd.Series, edit: pd.Series, git: pd.Series, items: pd.Series) -> pd.Series:
-        out = []
-        for a, d, e, ed, g, its in zip(all_, decision, error, edit, git, items):
-            by: dict[str, list[str]] = {}
-            for x in its if its is not None else []:
-                by.setdefault(x["g"], []).append(x["said"])
-            out.append(guide_text({"all": a, "decision": d, "error": e, "edit": ed, "git": g}, by, most))
-        return pd.Series(out)
 
-    return counts.join(recent, "session", "left").select("session", told("all", "decision", "error", "edit", "git", "recent").alias("guide"))
+def guides(events: DataFrame, most: int = GUIDE_BYTES) -> DataFrame:
+    """(session, guide): only the last few events of each group are brought together."""
+    rows, counts, recent = _recent(events)
+    whole = rows.groupBy("session").agg(*(c.alias(k) for k, c in counts.items()), recent.alias("recent"))
+    return whole.select("session", guide_column({k: F.col(k) for k in counts}, F.col("recent"), most).alias("guide"))
 
 
 def snapshots(events: DataFrame, ts: int = 0, most: int = SNAPSHOT_BYTES, with_guide: bool = True) -> DataFrame:
     """(session, ts, events, body, bytes) of every session."""
     rows = in_order(events).withColumn("line", event_line())
     same = Window.partitionBy("session", "tier", F.octet_length("line")).orderBy("place")
-    able = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= F.floor(most / F.octet_length("line")))
-    lines = able.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("place", "tier", "line"))).alias("lines"))
-    whole = events.groupBy("session").agg(F.count("*").alias("events")).join(lines, "session", "left")
+    able = F.row_number().over(same) <= F.floor(most / F.octet_length("line"))
+    rows, counts, recent = _recent(rows.withColumn("able", able)) if with_guide else (rows.withColumn("able", able), {"all": F.count("*")}, None)
+    lines = F.array_sort(F.collect_list(F.when(F.col("able"), F.struct("place", "tier", "line"))))
+    whole = rows.groupBy("session").agg(*(c.alias(k) for k, c in counts.items()), lines.alias("lines"), *([recent.alias("recent")] if with_guide else []))
     budget = min(GUIDE_BYTES, int(most * GUIDE_SHARE))
-    whole = whole.join(guides(events, budget), "session") if with_guide else whole.withColumn("guide", F.lit(None).cast("string"))
-
-    @F.pandas_udf("string")
-    def packed(lines: pd.Series, total: pd.Series, guide: pd.Series) -> pd.Series:
-        return pd.Series([snapshot_text([(x["tier"], x["line"]) for x in (own if own is not None else [])], n, ts, most, g) for own, n, g in zip(lines, total, guide)])
-
-    out = whole.select("session", F.lit(ts).cast("long").alias("ts"), "events", packed("lines", "events", "guide").alias("body"))
-    return out.withColumn("bytes", F.octet_length("body").cast("long"))
+    guide = guide_column({k: F.col(k) for k in counts}, F.col("recent"), budget) if with_guide else F.lit(None).cast("string")
+    # Each row is packed by itself in the JVM: batches of rows in Python took memory by their lines.
+    body = _let(guide, lambda g: snapshot_column(F.col("lines"), F.col("all"), g, ts, most))
+    return whole.select("session", F.lit(ts).cast("long").alias("ts"), F.col("all").alias("events"), body.alias("body")).withColumn("bytes", F.octet_length("body").cast("long"))
 
 
 def restored(saved: DataFrame, memory: list[str]) -> DataFrame:

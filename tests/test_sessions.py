@@ -107,3 +107,36 @@ def test_streamed_payloads_reach_the_log_once(spark, tmp_path):
     assert [r.source for r in streaming.offloaded(big).collect()] == ["R"]
     exports.append_events(log, f"{tmp_path}/other")
     assert exports.read_events(spark, f"{tmp_path}/other").count() == 6
+
+
+def test_snapshots_in_columns_equal_the_python_walk_with_guides(spark):
+    rng = random.Random(5)
+    kinds = ["decision", "edit", "git", "cwd", "odd", "error", "tool"]
+    said = lambda: rng.choice(["é", "w", " x", "日本 "]) * rng.randint(1, 60) + rng.choice(["", " timeout", "\n\tend "])
+    rows = [(f"s{i % 30}" if i % 30 else None, i, rng.randint(0, 50), rng.choice(kinds), said()) for i in range(900)] + [("one", 1000, 5, "tool", "x"), ("blank", 1001, 5, "error", None)]
+    df = spark.createDataFrame(rows, "session string, seq long, ts long, kind string, summary string")
+    text = {r.seq: r[1:] for r in df.select("seq", T.error_class(F.col("summary")), T.one_line(F.col("summary"))).collect()}
+    lines = {}
+    for r in S.in_order(df).withColumn("line", S.event_line()).orderBy("session", "place").collect():
+        lines.setdefault(r.session, []).append((r.tier, r.line))
+    for most in (20, 60, 120, 300, 700, 2048, 9000):
+        snapshots = S.snapshots(df, 7, most)
+        assert "Python" not in snapshots._jdf.queryExecution().executedPlan().toString()
+        got, budget = {r.session: r for r in snapshots.collect()}, min(S.GUIDE_BYTES, int(most * S.GUIDE_SHARE))
+        guide = {r.session: r.guide for r in S.guides(df, budget).collect()}
+        assert len(got) == len(guide) == 32 and None in got
+        for name, own in lines.items():
+            walk = [x for x in own if x[1] is not None]
+            assert got[name].body == S.snapshot_text(walk, len(own), 7, most, guide[name]) and got[name].bytes == S.size(got[name].body)
+            assert guide[name] == plain_guide([r for r in rows if r[0] == name], text, budget)
+
+
+def plain_guide(events, text, most):
+    """All events walked one by one, in Python; text: by seq, the error class and the summary on one line."""
+    group = lambda k: "edit" if k in S.EDITS else k if k in ("decision", "error", "git") else None
+    counts, recent = {"all": len(events)} | dict.fromkeys(S.LAST, 0), {}
+    for _, seq, _, k, said in sorted(events, key=lambda e: e[1]):
+        if g := group(k):
+            counts[g] += 1
+            recent.setdefault(g, []).append(None if said is None else f"[{text[seq][0]}] {text[seq][1]}" if g == "error" else text[seq][1])
+    return S.guide_text(counts, {g: x[-S.LAST[g] :] for g, x in recent.items()}, most)
