@@ -9,22 +9,41 @@ from ctxlake.sources import table
 from ctxlake.sources.scratch import staged
 
 
+KINDS = [("r", "region", "r_regionkey", "r_name", "class"), ("n", "nation", "n_nationkey", "n_name", "class"), ("s", "supplier", "s_suppkey", "s_name", "function"), ("c", "customer", "c_custkey", "c_name", "function"), ("p", "part", "p_partkey", "p_name", "function")]
+#: (table, source's letter and column, target's letter and column, relation)
+LINKS = [("nation", "n", "n_nationkey", "r", "n_regionkey", "in_region"), ("supplier", "s", "s_suppkey", "n", "s_nationkey", "in_nation"), ("customer", "c", "c_custkey", "n", "c_nationkey", "in_nation"), ("lineitem", "s", "l_suppkey", "p", "l_partkey", "supplies")]
+
+
 def from_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The graph of a folder's keys: regions, nations, suppliers, customers and parts. Nodes are in the order of (file,
-    key), edges of (relation, source, target)."""
-    kinds = [("r", "region", "r_regionkey", "r_name", "class"), ("n", "nation", "n_nationkey", "n_name", "class"), ("s", "supplier", "s_suppkey", "s_name", "function"), ("c", "customer", "c_custkey", "c_name", "function"), ("p", "part", "p_partkey", "p_name", "function")]
-    nodes = None
-    for short, name, key, label, kind in kinds:
+    key), edges of (relation, source, target). Pairs of keys are made distinct as numbers, which take a fraction of the
+    memory of ids."""
+    nodes = edges = None
+    for short, name, key, label, kind in KINDS:
         k = F.col(key).cast("long")
         part = table(spark, folder, name).select(F.concat(F.lit(short + ":"), k.cast("string")).alias("id"), F.col(label).alias("name"), F.lit(kind).alias("kind"), F.lit(name).alias("file"), (k + 1).alias("line"), F.struct(F.lit(name).alias("file"), k.alias("key")).alias("ord"))
         nodes = part if nodes is None else nodes.unionByName(part)
-    link = lambda t, a, x, b, y, r: table(spark, folder, t).select(F.concat(F.lit(a + ":"), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b + ":"), F.col(y).cast("string")).alias("target"), F.lit(r).alias("relation"))
-    edges = link("nation", "n", "n_nationkey", "r", "n_regionkey", "in_region")
-    edges = edges.unionByName(link("supplier", "s", "s_suppkey", "n", "s_nationkey", "in_nation")).unionByName(link("customer", "c", "c_custkey", "n", "c_nationkey", "in_nation"))
-    edges = edges.unionByName(link("lineitem", "s", "l_suppkey", "p", "l_partkey", "supplies").distinct())
+    for t, a, x, b, y, relation in LINKS:
+        keys = table(spark, folder, t).select(x, y)
+        keys = keys.distinct() if t == "lineitem" else keys
+        part = keys.select(F.concat(F.lit(a + ":"), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b + ":"), F.col(y).cast("string")).alias("target"), F.lit(relation).alias("relation"))
+        edges = part if edges is None else edges.unionByName(part)
     return nodes, edges.select("source", "target", "relation", F.lit("EXTRACTED").alias("provenance"), F.struct("relation", "source", "target").alias("ord"))
 
 
+def relation_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(relation, n): how many of clean_edges() of the folder's graph there are, found on keys as numbers. Ends of one edge
+    are of different tables, so that none is a self-edge."""
+    own = {short: (name, key) for short, name, key, _, _ in KINDS}
+    ids = lambda short, c: table(spark, folder, own[short][0]).select(F.col(own[short][1]).cast("long").alias(c))
+    found = None
+    for t, a, x, b, y, relation in LINKS:
+        keys = table(spark, folder, t).select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
+        part = keys.join(ids(a, "x"), "x", "left_semi").join(ids(b, "y"), "y", "left_semi").distinct().select(F.lit(relation).alias("relation"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("relation").agg(F.count("*").alias("n"))
+
+
 def clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The first edge per (source, target, relation), without self-edges and loose ends."""
     ids = nodes.select("id")

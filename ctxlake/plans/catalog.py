@@ -122,8 +122,7 @@ def hub_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select relation, count(*)::bigint as n from ({_EDGES}) group by relation")
 def relation_histogram(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph.from_tables(spark, d)
-    return graph.clean_edges(nodes, edges).groupBy("relation").agg(F.count("*").alias("n"))
+    return graph.relation_counts(spark, d)
 
 
 @query(f"with recursive e as ({_EDGES}), w(id, distance) as (select 'r:1', 0 union select e.source, w.distance + 1 from w join e on e.target = w.id where w.distance < 2) select id, min(distance)::bigint as distance from w group by id")
